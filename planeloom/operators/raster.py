@@ -10,7 +10,7 @@ SELECT id,
 FROM p
 """
 
-#: Forward lifting, filter A: h = d - floor((r[n] + r[n+1]) / 4), ends use one side.
+#: Pair averages and differences, the first half of forward lifting; the filter step is not built yet.
 WAVELET_FWD_1D_A = """
 WITH s AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS x,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
