@@ -176,7 +176,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def joined(cuts) -> list[tuple[int, int]]:
     out = []
-    for a, b in sorted((x["a"], x["b"]) for x in cuts or []):
+    for a, b in sorted((x["a"], x["b"]) for x in ([] if cuts is None else cuts)):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
