@@ -49,10 +49,10 @@ def plan_sql(base: str, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[int
     keys = ["mix_domain", "mix_lang", "mix_source"]
     return f"""leaves AS (SELECT {', '.join(keys)}, CAST(sum(mix_tokens) AS BIGINT) AS supply, CAST({epochs} * sum(mix_tokens) AS BIGINT) AS cap FROM {base} GROUP BY {', '.join(keys)}),
 root AS (SELECT CAST(floor(sum(supply) * CAST({parts[0]} AS DOUBLE) / {parts[1]}) AS BIGINT) AS budget FROM leaves),{_level(keys[:1], 'root', 'domains', flat)},{_level(keys[:2], 'domains', 'langs', flat)},{_level(keys, 'langs', 'sources', flat)},
-leaf_plan AS (SELECT {', '.join(keys)}, CAST((budget - budget % supply) / supply AS INT) AS whole, CAST(budget % supply AS BIGINT) AS rest FROM sources)"""
+leaf_plan AS (SELECT {', '.join(keys)}, CAST((budget - budget % supply) / supply AS INT) AS mix_whole, CAST(budget % supply AS BIGINT) AS mix_rest FROM sources)"""
 
 
-ORDER = "CAST((((doc_id % 1000003) + 1000003) % 1000003 * 7919 + (whole + 1) * 104729 + {seed} * 1299709) % 1000003 AS BIGINT) * 1103515245 % 2147483648"
+ORDER = "CAST((((doc_id % 1000003) + 1000003) % 1000003 * 7919 + (mix_whole + 1) * 104729 + {seed} * 1299709) % 1000003 AS BIGINT) * 1103515245 % 2147483648"
 
 
 def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[int, int] = (1, 1), seed: int = SEED) -> DataFrame:
@@ -68,18 +68,18 @@ def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[
     from .components import checkpointed
 
     leaves = checkpointed(leaves)  # a row for each leaf; Spark broadcasts it if it is small
-    placed = spark.sql(f"SELECT b.*, l.whole, l.rest, {ORDER.format(seed=seed)} AS mix_order FROM {{b}} b JOIN {{l}} l USING ({', '.join(keys)})", b=base, l=leaves)
+    placed = spark.sql(f"SELECT b.*, l.mix_whole, l.mix_rest, {ORDER.format(seed=seed)} AS mix_order FROM {{b}} b JOIN {{l}} l USING ({', '.join(keys)})", b=base, l=leaves)
     per = 2147483648 // BUCKETS
-    sums = spark.sql(f"SELECT {', '.join(keys)}, rest, CAST(floor(mix_order / {per}) AS INT) AS bucket, sum(mix_tokens) AS n FROM {{p}} GROUP BY ALL", p=placed)
-    ends = spark.sql(f"SELECT *, sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY bucket) AS upto FROM {{s}}", s=sums)
-    ends = checkpointed(spark.sql(f"SELECT {', '.join(keys)}, min(CASE WHEN upto > rest THEN bucket END) AS edge, max(CASE WHEN upto <= rest THEN upto ELSE 0 END) AS before FROM {{e}} GROUP BY {', '.join(keys)}", e=ends))
-    at = spark.sql(f"SELECT p.*, CAST(floor(mix_order / {per}) AS INT) AS bucket, e.edge, e.before FROM {{p}} p JOIN {{e}} e USING ({', '.join(keys)})", p=placed, e=ends)
-    inside = spark.sql("SELECT *, whole + CASE WHEN bucket < edge THEN 1 ELSE 0 END AS times FROM {a}", a=at)
+    sums = spark.sql(f"SELECT {', '.join(keys)}, mix_rest, CAST(floor(mix_order / {per}) AS INT) AS mix_bucket, sum(mix_tokens) AS n FROM {{p}} GROUP BY ALL", p=placed)
+    ends = spark.sql(f"SELECT *, sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_bucket) AS mix_upto FROM {{s}}", s=sums)
+    ends = checkpointed(spark.sql(f"SELECT {', '.join(keys)}, min(CASE WHEN mix_upto > mix_rest THEN mix_bucket END) AS mix_edge, max(CASE WHEN mix_upto <= mix_rest THEN mix_upto ELSE 0 END) AS mix_before FROM {{e}} GROUP BY {', '.join(keys)}", e=ends))
+    at = spark.sql(f"SELECT p.*, CAST(floor(mix_order / {per}) AS INT) AS mix_bucket, e.mix_edge, e.mix_before FROM {{p}} p JOIN {{e}} e USING ({', '.join(keys)})", p=placed, e=ends)
+    inside = spark.sql("SELECT *, mix_whole + CASE WHEN mix_bucket < mix_edge THEN 1 ELSE 0 END AS mix_times FROM {a}", a=at)
     names = [c for c in base.columns]
     out = ", ".join(f"`{c}`" for c in names)
-    many = spark.sql(f"SELECT {out}, explode(sequence(0, times - 1)) AS mix_epoch FROM {{i}} WHERE times > 0", i=inside)
-    edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + before AS upto FROM {{a}} WHERE bucket = edge", a=at)
-    last = spark.sql(f"SELECT {out}, whole AS mix_epoch FROM {{e}} WHERE upto <= rest", e=edge)
+    many = spark.sql(f"SELECT {out}, explode(sequence(0, mix_times - 1)) AS mix_epoch FROM {{i}} WHERE mix_times > 0", i=inside)
+    mix_edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + mix_before AS mix_upto FROM {{a}} WHERE mix_bucket = mix_edge", a=at)
+    last = spark.sql(f"SELECT {out}, mix_whole AS mix_epoch FROM {{e}} WHERE mix_upto <= mix_rest", e=mix_edge)
     return many.unionAll(last)
 
 
@@ -92,8 +92,8 @@ _KEYS = "mix_domain, mix_lang, mix_source"
 SQL = {
     "op3_mixing": f"""WITH base AS ({BASE.format(columns='doc_id,', bytes="octet_length(encode(coalesce(text, '')))", docs='documents')}),
 {plan_sql('base')},
-placed AS (SELECT base.*, whole, rest, {ORDER.format(seed=SEED)} AS mix_order FROM base JOIN leaf_plan USING ({_KEYS})),
-sums AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY {_KEYS} ORDER BY mix_order, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
+placed AS (SELECT base.*, mix_whole, mix_rest, {ORDER.format(seed=SEED)} AS mix_order FROM base JOIN leaf_plan USING ({_KEYS})),
+sums AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY {_KEYS} ORDER BY mix_order, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mix_upto FROM placed)
 SELECT doc_id, {_KEYS}, mix_tokens, CAST(e AS INTEGER) AS mix_epoch FROM (
-  SELECT *, unnest(range(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)) AS e FROM sums)"""
+  SELECT *, unnest(range(mix_whole + CASE WHEN mix_upto <= mix_rest THEN 1 ELSE 0 END)) AS e FROM sums)"""
 }
