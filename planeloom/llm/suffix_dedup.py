@@ -190,9 +190,11 @@ def kept(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def with_cuts(docs: DataFrame) -> DataFrame:
-    """docs with columns t (a hash of the text) and cuts (null: nothing to remove)."""
-    docs = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.join(spans(docs.where("octet_length(text) >= %d" % LENGTH)), ["doc_id", "t"], "left")
+    """docs with columns _cut_t (a hash of the text) and _cut_spans (null: nothing to remove)."""
+    docs = docs.withColumn("_cut_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    long = docs.where(f"octet_length(text) >= {LENGTH}").select("doc_id", "text", F.col("_cut_t").alias("t"))
+    found = spans(long).withColumnsRenamed({"t": "_cut_t", "cuts": "_cut_spans"})
+    return docs.join(found, ["doc_id", "_cut_t"], "left")
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:
@@ -205,7 +207,7 @@ def kept_texts(docs: DataFrame) -> DataFrame:
         return pd.Series([t if c is None else kept(t.encode(), joined(c)).decode("utf-8", "ignore") for t, c in zip(text, cuts)], dtype="object")
 
     cut_docs = with_cuts(docs)
-    return cut_docs.select(*[F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut("text", "cuts")).alias("text") if c == "text" else c for c in docs.columns])
+    return cut_docs.select(*[F.when(F.col("_cut_spans").isNull(), F.col("text")).otherwise(cut("text", "_cut_spans")).alias("text") if c == "text" else c for c in docs.columns])
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -218,7 +220,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_cuts(docs.select("doc_id", "text")).select("doc_id", "text", "cuts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_cuts(docs.select("doc_id", "text")).select("doc_id", "text", "_cut_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark, sf_dir):
