@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import checkpointed
 
-LENGTH, ANCHOR, PIECE, FEW = 400, 64, 1 << 18, 6
+LENGTH, ANCHOR, PIECE, FEW = 400, 64, 1 << 18, 32
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
 _powers: dict[int, np.ndarray] = {}
@@ -83,12 +83,14 @@ def bucket(members: list[tuple[bytes, bytes]]) -> list[tuple[int, int, int]]:
     found = [(i, len(a), len(b)) for (a, b), at in kinds.items() if len(at) > 1 and len(a) + len(b) >= LENGTH for i in at]
     ones = list(kinds)
     if len(ones) <= FEW:
+        reach = [[0, 0] for _ in ones]  # all of a member's spans hold its place, so together they are one
         for x in range(len(ones)):
             for y in range(x):
                 left, right = _common(ones[x][0], ones[y][0]), _common(ones[x][1], ones[y][1])
                 if left + right >= LENGTH:
-                    found += [(i, left, right) for k in (ones[x], ones[y]) for i in kinds[k]]
-        return found
+                    for k in (x, y):
+                        reach[k] = [max(reach[k][0], left), max(reach[k][1], right)]
+        return found + [(i, *reach[k]) for k in range(len(ones)) if reach[k][1] for i in kinds[ones[k]]]
     back = LENGTH - ANCHOR
     text = np.zeros((len(ones), back + LENGTH), np.uint8)
     for row, (a, b) in zip(text, ones):
