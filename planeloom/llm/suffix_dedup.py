@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import checkpointed
 
-LENGTH, ANCHOR, PIECE, FEW = 400, 64, 1 << 18, 32
+LENGTH, ANCHOR, PIECE, FEW, SALTS = 400, 64, 1 << 18, 32, 32
 BASE = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
 _powers: dict[int, np.ndarray] = {}
@@ -160,7 +160,10 @@ def spans(docs: DataFrame) -> DataFrame:
 
     places = checkpointed(docs.select("doc_id", "text", "t").mapInArrow(choose, "key long, doc_id long, t long, p long"))
     shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = places.join(shared, "key", "left_semi").groupBy("doc_id", "t").agg(F.collect_set(F.struct("key", "p")).alias("places"))
+    # a key may hold a large part of all places: it is dealt to SALTS tasks by document
+    shared = shared.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    salted = places.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    wanted = salted.join(shared, ["key", "salt"], "left_semi").groupBy("doc_id", "t").agg(F.collect_set(F.struct("key", "p")).alias("places"))
 
     def around(batches):
         for batch in batches:
