@@ -10,17 +10,6 @@ SELECT id,
 FROM p
 """
 
-#: Pair averages and differences, the first half of forward lifting; the filter step is not built yet.
-WAVELET_FWD_1D_A = """
-WITH s AS (SELECT user_id, CAST(floor(value) AS BIGINT) AS x,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
-q AS (SELECT user_id, (i - i % 2) / 2 AS n0, min(CASE WHEN i % 2 = 0 THEN x END) AS a,
-    min(CASE WHEN i % 2 = 1 THEN x END) AS b FROM s GROUP BY user_id, (i - i % 2) / 2),
-l AS (SELECT user_id, CAST(n0 AS BIGINT) AS n, a, b,
-    CASE WHEN b IS NULL THEN a ELSE CAST(floor((a + b) / 2.0) AS BIGINT) END AS low FROM q)
-SELECT user_id, n, CAST(low AS BIGINT) AS low, CAST(a - b AS BIGINT) AS d FROM l
-"""
-
 
 def spark_sql(sql: str) -> str:
     return _div(sql, "({}) div 1000000")

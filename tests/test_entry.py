@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     sql = __spark_entry__.oracle_sql()[name]
     con = duckdb.connect()
-    for table in ("part", "events", "documents", "embeddings"):
+    for table in ("part", "events", "documents", "embeddings", "supplier"):
         con.sql(f"CREATE VIEW {table} AS FROM '{SF}/{table}.parquet'")
     want = con.sql(sql)
     cols = sorted(want.columns)
