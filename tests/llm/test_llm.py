@@ -209,3 +209,33 @@ def test_pipeline_stages_keep_columns(spark, docs, empty):
     for (i, t, *_), (raw, cover) in zip(ROWS, brute_cuts([r[1] for r in ROWS])):
         want = bytes(np.frombuffer(raw, np.uint8)[~cover]).decode("utf-8", "ignore")
         assert (texts[i] or "") == want
+
+
+def test_license_notices_in_longer_texts():
+    s = license_scan.Scanner()
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n'
+    assert s.scan(prose(40) + "\n" + apache + prose(90))[:3] == ("Apache-2.0", 1.0, 1)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    assert s.scan(mit)[0] == "MIT"
+    assert s.scan(prose(70) + " " + mit + " " + prose(70))[:3] == ("MIT", 1.0, 1)
+    isc = "# Permission to use, copy, modify, and/or distribute this\n# software for any purpose with or without fee is hereby\n# granted, provided that the above copyright notice and this\n# permission notice appear in all copies.\n"
+    assert s.scan(prose(60) + "\n" + isc + prose(60))[:2] == ("ISC", 1.0)
+    assert s.scan("The data set is free. Released under the MIT License. Have fun with it, all of you.")[:3] == ("MIT", 1.0, 1)
+    assert s.scan(prose(30) + " " + license_scan.TEMPLATES["GPL-3.0"][2] + prose(30))[0] == "GPL-3.0"
+    assert s.scan(mit + "\n" + prose(200) + " released under the MIT License. " + prose(9) + " Licensed under CC BY-NC 4.0.")[2:] == (3, ["CC-BY-NC-4.0", "MIT"])
+
+
+def test_license_windows_against_brute_force():
+    templates = {"A": ["a b c d e f g"], "B": ["a b a b a c", "d"], "C": ["f g a b b b c d e"]}
+    s = license_scan.Scanner(templates)
+    for _ in range(300):
+        words = [R.choice("abcdefg") for _ in range(R.randint(0, 40))]
+        want = []
+        for name, texts in templates.items():
+            for x in map(license_scan.words_of, texts):
+                for i in range(len(words) - len(x) + 1):
+                    a, b = license_scan.bigrams(words[i : i + len(x)]), license_scan.bigrams(x)
+                    want.append((-2 * len(a & b) / (len(a) + len(b)), name))
+        want = min((x for x in want if -x[0] >= s.threshold), default=None)
+        got = min(((-d, name) for d, name, *_ in s.windows(words)), default=None)
+        assert got == want
