@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from planeloom.llm import bpe, language_id, mixing, simhash, suffix_dedup
+from planeloom.llm import bpe, language_id, mixing, near_copies, suffix_dedup
 from planeloom.llm.components import checkpointed
 
 
@@ -12,10 +12,13 @@ def identify(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """SimHash near-dedup: of each component the row with the smallest doc_id stays; of equal ids, one row."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """SimHash near-dedup: of near copies (five-word shingles, similarity 0.8 or more, and chains of such) one row stays.
+
+    It is the row with the smallest doc_id, null ids last; of equal ids the one with the smaller hash of the text.
+    """
+    rows = near_copies.near_copies(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns))
+    return rows.groupBy("_copy_of").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
 
 
 def cut_repeats(spark, docs, sf_dir):

@@ -239,3 +239,29 @@ def test_license_windows_against_brute_force():
         want = min((x for x in want if -x[0] >= s.threshold), default=None)
         got = min(((-d, name) for d, name, *_ in s.windows(words)), default=None)
         assert got == want
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+    from planeloom.llm import near_copies
+
+    texts = []
+    for n in (20, 60, 120, 400):
+        for _ in range(12):
+            words = prose(n).split()
+            texts.append(" ".join(words))
+            for _ in range(4):  # each copy is of the one before it
+                for _ in range(R.randint(0, max(1, n // 40))):
+                    words[R.randrange(n)] = R.choice(WORDS)
+                texts.append(" ".join(words))
+    sets = [set(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    first = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((first[i], first[j]))
+                first = [x if f == y else f for f in first]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, None).collect()}
+    assert kept == set(first) and len(kept) < len(texts) - 48
+    assert near_copies.joined([near_copies.shingles(t) for t in texts]) == first
