@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from planeloom.dialect import duck_sql
-from planeloom.operators import framing, geometry, wavelet
+from planeloom.operators import catalog, framing, geometry, wavelet
 
 
 def forward(x, filt):
@@ -73,3 +73,20 @@ def test_crc32_and_inverse_of_null_text(spark):
     rows = framing.scanned(framing.framed(docs)).collect()
     assert [(r.doc_id, bytes(r.payload)) for r in rows] == [(1, b"abc")]
     assert spark.sql("SELECT crc32(encode('abc', 'utf-8')) AS c").first().c == zlib.crc32(b"abc")
+
+
+def test_packets_of_all_events_and_planned_gaps(spark, tmp_path):
+    rows = [(e, 1, "a", e / 2) for e in (8, 7, 5, 4)]  # no plane 6
+    rows += [(e, 2, "a", 1.0) for e in (7, 6, 5)]  # no top plane
+    rows += [(e, 3, "b", e + 0.5) for e in (8, 17, 35, 14, 16, 25)]  # plane 8 three times, last by 35; 14 is its only plane 5
+    rows += [(e, 4, "c", 0.0) for e in (63 - k for k in range(1, 10))]  # all planes, from 62 down to 54
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    last = {}
+    for e, user, band, value in sorted(rows):
+        last[user, band, e % 9] = (e, int(value // 1))
+    want = {(u, b, p, *x) for (u, b, p), x in last.items()}
+    got = {name: catalog.QUERIES[name](spark, str(tmp_path)).select("img", "band", "plane", "seen", "payload").collect() for name in ("packet_dedupe", "contiguous_planes")}
+    assert sorted(map(tuple, got["packet_dedupe"])) == sorted(want)
+    usable = {x for x in want if all((x[0], x[1], p) in last for p in range(x[2], 9))}
+    assert sorted(map(tuple, got["contiguous_planes"])) == sorted(usable)
+    assert {(r.img, r.plane) for r in got["contiguous_planes"]} == {(1, 8), (1, 7), (3, 8), (3, 7), *((4, p) for p in range(9))}
