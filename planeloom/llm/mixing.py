@@ -53,6 +53,8 @@ leaf_plan AS (SELECT {', '.join(keys)}, CAST((budget - budget % supply) / supply
 
 
 ORDER = "CAST((((doc_id % 1000003) + 1000003) % 1000003 * 7919 + (mix_whole + 1) * 104729 + {seed} * 1299709) % 1000003 AS BIGINT) * 1103515245 % 2147483648"
+#: Null ids are placed by their text.
+_PLACE = ORDER.replace("doc_id", "coalesce(doc_id, xxhash64(text) % 1000003)")
 
 
 def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[int, int] = (1, 1), seed: int = SEED) -> DataFrame:
@@ -68,7 +70,7 @@ def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[
     from .components import checkpointed
 
     leaves = checkpointed(leaves)  # a row for each leaf; Spark broadcasts it if it is small
-    placed = spark.sql(f"SELECT b.*, l.mix_whole, l.mix_rest, {ORDER.format(seed=seed)} AS mix_order FROM {{b}} b JOIN {{l}} l USING ({', '.join(keys)})", b=base, l=leaves)
+    placed = spark.sql(f"SELECT b.*, l.mix_whole, l.mix_rest, {_PLACE.format(seed=seed)} AS mix_order FROM {{b}} b JOIN {{l}} l USING ({', '.join(keys)})", b=base, l=leaves)
     per = 2147483648 // BUCKETS
     sums = spark.sql(f"SELECT {', '.join(keys)}, mix_rest, CAST(floor(mix_order / {per}) AS INT) AS mix_bucket, sum(mix_tokens) AS n FROM {{p}} GROUP BY ALL", p=placed)
     ends = spark.sql(f"SELECT *, sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_bucket) AS mix_upto FROM {{s}}", s=sums)
@@ -78,7 +80,7 @@ def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[
     names = [c for c in base.columns]
     out = ", ".join(f"`{c}`" for c in names)
     many = spark.sql(f"SELECT {out}, explode(sequence(0, mix_times - 1)) AS mix_epoch FROM {{i}} WHERE mix_times > 0", i=inside)
-    mix_edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + mix_before AS mix_upto FROM {{a}} WHERE mix_bucket = mix_edge", a=at)
+    mix_edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id, xxhash64(text) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + mix_before AS mix_upto FROM {{a}} WHERE mix_bucket = mix_edge", a=at)
     last = spark.sql(f"SELECT {out}, mix_whole AS mix_epoch FROM {{e}} WHERE mix_upto <= mix_rest", e=mix_edge)
     return many.unionAll(last)
 

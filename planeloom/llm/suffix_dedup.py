@@ -195,11 +195,12 @@ def kept(raw: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def with_cuts(docs: DataFrame) -> DataFrame:
-    """docs with columns _cut_t (a hash of the text) and _cut_spans (null: nothing to remove)."""
-    docs = docs.withColumn("_cut_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    long = docs.where(f"octet_length(text) >= {LENGTH}").select("doc_id", "text", F.col("_cut_t").alias("t"))
-    found = spans(long).withColumnsRenamed({"t": "_cut_t", "cuts": "_cut_spans"})
-    return docs.join(found, ["doc_id", "_cut_t"], "left")
+    """docs with columns _cut_t (a hash of the text), _cut_id (doc_id; of null ids 0, with a _cut_t of their own) and _cut_spans (null: nothing to remove)."""
+    t, none = F.coalesce("text", F.lit("")), F.col("doc_id").isNull()
+    docs = docs.withColumn("_cut_t", F.when(none, F.xxhash64(t, F.lit("null"))).otherwise(F.xxhash64(t))).withColumn("_cut_id", F.coalesce("doc_id", F.lit(0).cast("long")))
+    long = docs.where(f"octet_length(text) >= {LENGTH}").select(F.col("_cut_id").alias("doc_id"), "text", F.col("_cut_t").alias("t"))
+    found = spans(long).withColumnsRenamed({"doc_id": "_cut_id", "t": "_cut_t", "cuts": "_cut_spans"})
+    return docs.join(found, ["_cut_id", "_cut_t"], "left")
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:

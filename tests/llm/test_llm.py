@@ -265,3 +265,20 @@ def test_pipeline_near_copies(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table, None).collect()}
     assert kept == set(first) and len(kept) < len(texts) - 48
     assert near_copies.joined([near_copies.shingles(t) for t in texts]) == first
+
+
+def test_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(150), prose(150), prose(200)
+    rows = [(None, a), (None, b), (0, b + " end"), (5, c), (5, prose(80)), (5, prose(90)), (None, c + " z"), (7, prose(60)), (7, prose(60))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_dedup(spark, table, None).collect())
+    assert kept == Counter(r for i, r in enumerate(rows) if i not in (1, 6))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(table).collect())
+    assert got == Counter((i, len(raw), int(cover.sum())) for (i, _), (raw, cover) in zip(rows, brute_cuts([t for _, t in rows])))
+    assert any(i is None and n for i, _, n in got)
+    nulls = spark.createDataFrame([(None, prose(20), "en", "s") for _ in range(40)], "doc_id long, text string, lang string, source string")
+    total = sum((len(r.text) + 3) // 4 for r in nulls.collect())
+    taken = sum(r.mix_tokens for r in mixing.mixed(nulls, parts=(1, 2)).collect())
+    assert total // 2 - 60 < taken <= total // 2
