@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from planeloom.llm import bpe, language_id, mixing, near_copies, suffix_dedup
-from planeloom.llm.components import checkpointed
+from planeloom.llm.components import stored
 
 
 def identify(spark, docs, sf_dir):
@@ -46,6 +46,6 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -282,3 +282,16 @@ def test_null_and_shared_ids(spark):
     total = sum((len(r.text) + 3) // 4 for r in nulls.collect())
     taken = sum(r.mix_tokens for r in mixing.mixed(nulls, parts=(1, 2)).collect())
     assert total // 2 - 60 < taken <= total // 2
+
+
+def test_pipeline_hands_over_parquet(spark, monkeypatch):
+    import corpus_pipeline
+
+    read = []
+    stage = lambda spark, docs, sf_dir: read.append(docs.inputFiles()) or docs.where("doc_id % 2 = 0")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"stage{i}", stage) for i in range(3)])
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.doc_id % 2 == 0 for r in rows)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    for name, files in zip(("stage0", "stage1"), read[1:]):
+        assert files and all(f"{folder}/" in f and f"/{name}-" in f and f.endswith(".parquet") for f in files)
