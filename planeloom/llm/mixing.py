@@ -54,7 +54,7 @@ leaf_plan AS (SELECT {', '.join(keys)}, CAST((budget - budget % supply) / supply
 
 ORDER = "CAST((((doc_id % 1000003) + 1000003) % 1000003 * 7919 + (mix_whole + 1) * 104729 + {seed} * 1299709) % 1000003 AS BIGINT) * 1103515245 % 2147483648"
 #: Null ids are placed by their text.
-_PLACE = ORDER.replace("doc_id", "coalesce(doc_id, xxhash64(text) % 1000003)")
+_PLACE = ORDER.replace("doc_id", "coalesce(doc_id, mix_text % 1000003)")
 
 
 def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[int, int] = (1, 1), seed: int = SEED) -> DataFrame:
@@ -63,7 +63,7 @@ def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[
     parts: the budget as a fraction of all tokens. Columns of docs keep their names; those beginning with mix_ are taken.
     """
     spark = docs.sparkSession
-    columns = ", ".join(f"`{c}`" for c in docs.columns if not c.startswith("mix_")) + ","
+    columns = ", ".join(f"`{c}`" for c in docs.columns if not c.startswith("mix_")) + ", xxhash64(text) AS mix_text,"
     base = spark.sql(BASE.format(columns=columns, bytes="octet_length(coalesce(text, ''))", docs="{d}"), d=docs)
     keys = ["mix_domain", "mix_lang", "mix_source"]
     leaves = spark.sql(f"WITH {plan_sql('{b}', epochs, flat, parts)} SELECT * FROM leaf_plan", b=base)
@@ -77,10 +77,10 @@ def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[
     ends = checkpointed(spark.sql(f"SELECT {', '.join(keys)}, min(CASE WHEN mix_upto > mix_rest THEN mix_bucket END) AS mix_edge, max(CASE WHEN mix_upto <= mix_rest THEN mix_upto ELSE 0 END) AS mix_before FROM {{e}} GROUP BY {', '.join(keys)}", e=ends))
     at = spark.sql(f"SELECT p.*, CAST(floor(mix_order / {per}) AS INT) AS mix_bucket, e.mix_edge, e.mix_before FROM {{p}} p JOIN {{e}} e USING ({', '.join(keys)})", p=placed, e=ends)
     inside = spark.sql("SELECT *, mix_whole + CASE WHEN mix_bucket < mix_edge THEN 1 ELSE 0 END AS mix_times FROM {a}", a=at)
-    names = [c for c in base.columns]
+    names = [c for c in base.columns if c != "mix_text"]
     out = ", ".join(f"`{c}`" for c in names)
     many = spark.sql(f"SELECT {out}, explode(sequence(0, mix_times - 1)) AS mix_epoch FROM {{i}} WHERE mix_times > 0", i=inside)
-    mix_edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id, xxhash64(text) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + mix_before AS mix_upto FROM {{a}} WHERE mix_bucket = mix_edge", a=at)
+    mix_edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id, mix_text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + mix_before AS mix_upto FROM {{a}} WHERE mix_bucket = mix_edge", a=at)
     last = spark.sql(f"SELECT {out}, mix_whole AS mix_epoch FROM {{e}} WHERE mix_upto <= mix_rest", e=mix_edge)
     return many.unionAll(last)
 
