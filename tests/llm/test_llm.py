@@ -109,13 +109,14 @@ def brute_cuts(texts):
         yield r, cover[: len(r)]
 
 
-@pytest.mark.parametrize("few", [0, 6])
-def test_suffix_dedup(spark, docs, empty, monkeypatch, few):
-    monkeypatch.setattr(suffix_dedup, "FEW", few)
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 19, 1 << 20), (4000, 700, 50)])
+def test_suffix_dedup(spark, docs, empty, monkeypatch, sizes):
+    for name, size in zip(("PACK", "PIECE", "BUCKET"), sizes):
+        monkeypatch.setattr(suffix_dedup, name, size)
     want = []
     for (i, *_), (raw, cover) in zip(ROWS, brute_cuts([r[1] for r in ROWS])):
         kept = bytes(np.frombuffer(raw, np.uint8)[~cover])
-        want.append((i, len(raw), int(cover.sum()), int((np.diff(np.r_[0, cover.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        want.append((i, len(raw), int(cover.sum()), int((np.diff(np.r_[0, cover.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect())) == sorted(want)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
