@@ -6,34 +6,42 @@ from planeloom.llm import bpe, language_id, mixing, near_copies, suffix_dedup
 from planeloom.llm.components import stored
 
 
+#: Bytes of a passage that goes where it repeats: below fifty words of four letters and a space.
+PASSAGE = 200
+
+
 def identify(spark, docs, sf_dir):
-    """Language ID: rows without a language (null text, no letters) go."""
+    """Language ID: rows without a language (null text, no letters) go; a null lang becomes the predicted one.
+
+    Where no row trains (an empty table, lang null throughout) all rows with letters stay as they are.
+    """
     return language_id.identified(docs, language_id.fit(docs))
 
 
 def near_dedup(spark, docs, sf_dir):
     """SimHash near-dedup: of near copies (five-word shingles, similarity 0.8 or more, and chains of such) one row stays.
 
-    It is the row with the smallest doc_id, null ids last; of equal ids the one with the smaller hash of the text.
+    It is the row with the smallest doc_id, null ids last; of equal ids the one with the smaller hash of the row.
     """
-    rows = near_copies.near_copies(docs)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return rows.groupBy("_copy_of").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return near_copies.firsts(docs)
 
 
 def cut_repeats(spark, docs, sf_dir):
-    """Suffix-array dedup: bytes of repeated passages go from the texts; n_chars follows."""
-    cut = suffix_dedup.kept_texts(docs)
+    """Suffix-array dedup: bytes of passages of PASSAGE bytes or more that repeat go from the texts; n_chars follows."""
+    cut = suffix_dedup.kept_texts(docs, PASSAGE)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def mix(spark, docs, sf_dir):
-    """Mixing to target weights: rows as the budgets of their sources take them, repeated where epochs are."""
+    """Mixing to target weights: rows as the budgets of their sources take them, repeated where epochs are.
+
+    Rows without text have no tokens and go; repeated rows are taken each on their own. An empty table stays empty.
+    """
     return mixing.mixed(docs).select(*docs.columns)
 
 
 def encode(spark, docs, sf_dir):
-    """BPE: counts and digests of ids and decoded text."""
+    """BPE: counts and digests of ids and decoded text, a row for each row; an empty table gives none."""
     import public_tokenizers
 
     return bpe.bpe_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -129,16 +129,20 @@ def language_id(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose language is "und": null texts and texts without letters. All other columns stay."""
+    """docs without the rows whose language is "und": null texts and texts without letters. A null lang becomes the predicted one.
+
+    A model without languages rejects only rows without letters, and leaves lang. All other columns stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(text):
+    @F.pandas_udf("string")
+    def predicted(text):
         import pandas as pd
 
-        return pd.Series([shared.value.predict(t)[0] != "und" for t in text], dtype="bool")
+        return pd.Series([shared.value.predict(t)[0] if shared.value.names or not any(x for _, x in grams(t or "")) else "" for t in text], dtype="object")
 
-    return docs.where(known("text"))
+    rows = docs.withColumn("_lang_pred", predicted("text")).where("_lang_pred != 'und'")
+    return rows.select(*[F.expr("coalesce(lang, nullif(_lang_pred, ''))").alias("lang") if c == "lang" else c for c in docs.columns])
 
 
 def op1_language_id(spark, sf_dir):

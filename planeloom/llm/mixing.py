@@ -63,24 +63,24 @@ def mixed(docs: DataFrame, epochs: int = EPOCHS, flat: int = FLAT, parts: tuple[
     parts: the budget as a fraction of all tokens. Columns of docs keep their names; those beginning with mix_ are taken.
     """
     spark = docs.sparkSession
-    columns = ", ".join(f"`{c}`" for c in docs.columns if not c.startswith("mix_")) + ", xxhash64(text) AS mix_text,"
+    columns = ", ".join(f"`{c}`" for c in docs.columns if not c.startswith("mix_")) + f", xxhash64(text) AS mix_text, xxhash64({', '.join(f'`{c}`' for c in docs.columns)}) AS mix_row,"
     base = spark.sql(BASE.format(columns=columns, bytes="octet_length(coalesce(text, ''))", docs="{d}"), d=docs)
     keys = ["mix_domain", "mix_lang", "mix_source"]
     leaves = spark.sql(f"WITH {plan_sql('{b}', epochs, flat, parts)} SELECT * FROM leaf_plan", b=base)
-    from .components import checkpointed
+    from .components import stored
 
-    leaves = checkpointed(leaves)  # a row for each leaf; Spark broadcasts it if it is small
+    leaves = stored(leaves, "leaves")  # a row for each leaf; Spark broadcasts it if its files are small
     placed = spark.sql(f"SELECT b.*, l.mix_whole, l.mix_rest, {_PLACE.format(seed=seed)} AS mix_order FROM {{b}} b JOIN {{l}} l USING ({', '.join(keys)})", b=base, l=leaves)
     per = 2147483648 // BUCKETS
     sums = spark.sql(f"SELECT {', '.join(keys)}, mix_rest, CAST(floor(mix_order / {per}) AS INT) AS mix_bucket, sum(mix_tokens) AS n FROM {{p}} GROUP BY ALL", p=placed)
     ends = spark.sql(f"SELECT *, sum(n) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_bucket) AS mix_upto FROM {{s}}", s=sums)
-    ends = checkpointed(spark.sql(f"SELECT {', '.join(keys)}, min(CASE WHEN mix_upto > mix_rest THEN mix_bucket END) AS mix_edge, max(CASE WHEN mix_upto <= mix_rest THEN mix_upto ELSE 0 END) AS mix_before FROM {{e}} GROUP BY {', '.join(keys)}", e=ends))
+    ends = stored(spark.sql(f"SELECT {', '.join(keys)}, min(CASE WHEN mix_upto > mix_rest THEN mix_bucket END) AS mix_edge, max(CASE WHEN mix_upto <= mix_rest THEN mix_upto ELSE 0 END) AS mix_before FROM {{e}} GROUP BY {', '.join(keys)}", e=ends), "edges")
     at = spark.sql(f"SELECT p.*, CAST(floor(mix_order / {per}) AS INT) AS mix_bucket, e.mix_edge, e.mix_before FROM {{p}} p JOIN {{e}} e USING ({', '.join(keys)})", p=placed, e=ends)
     inside = spark.sql("SELECT *, mix_whole + CASE WHEN mix_bucket < mix_edge THEN 1 ELSE 0 END AS mix_times FROM {a}", a=at)
-    names = [c for c in base.columns if c != "mix_text"]
+    names = [c for c in base.columns if c not in ("mix_text", "mix_row")]
     out = ", ".join(f"`{c}`" for c in names)
     many = spark.sql(f"SELECT {out}, explode(sequence(0, mix_times - 1)) AS mix_epoch FROM {{i}} WHERE mix_times > 0", i=inside)
-    mix_edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id, mix_text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + mix_before AS mix_upto FROM {{a}} WHERE mix_bucket = mix_edge", a=at)
+    mix_edge = spark.sql(f"SELECT *, sum(mix_tokens) OVER (PARTITION BY {', '.join(keys)} ORDER BY mix_order, doc_id, mix_text, mix_row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + mix_before AS mix_upto FROM {{a}} WHERE mix_bucket = mix_edge", a=at)
     last = spark.sql(f"SELECT {out}, mix_whole AS mix_epoch FROM {{e}} WHERE mix_upto <= mix_rest", e=mix_edge)
     return many.unionAll(last)
 

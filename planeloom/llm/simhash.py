@@ -25,18 +25,26 @@ BITS, RADIUS, BANDS, CELL = 64, 4, 6, 4096
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space
-    n = max(1, len(words) - width + 1)
-    if not words:
-        return 0
-    sums = np.zeros(64, np.int64)
+def hashes(words: list[bytes], width: int, seed: int = 42):
+    """Arrays of the hashed shingles of a text, repeats included, BLOCK at a time; of fewer words the whole sequence."""
+    n = max(1, len(words) - width + 1) if words else 0
     for at in range(0, n, BLOCK):
-        h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(at, min(n, at + BLOCK))), np.uint64)
+        yield np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(at, min(n, at + BLOCK))), np.uint64)
+
+
+def majority(parts) -> int:
+    """The bits that are set in over half of the hashes; zero of none."""
+    sums, n = np.zeros(64, np.int64), 0
+    for h in parts:
         sums += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return sum(1 << i for i in np.flatnonzero(2 * sums > n).tolist())
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    return majority(hashes((text or "").encode().lower().split(), width, seed))  # bytes: A-Z only, and ASCII white space
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
