@@ -6,7 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is stored: shuffles are freed at the end, and Python workers get rows by a few MB.
+WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "6m"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,12 +31,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to a folder of its own below shared_folder and read back; what it shuffled is freed at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WHILE_STORED}
     try:
+        for k, v in WHILE_STORED.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
