@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from planeloom.llm import bpe, language_id, mixing, near_copies, suffix_dedup
-from planeloom.llm.components import stored
+from planeloom.llm.components import small_batches, stored
 
 
 #: Bytes of a passage that goes where it repeats: below fifty words of four letters and a space.
@@ -15,6 +15,7 @@ def identify(spark, docs, sf_dir):
 
     Where no row trains (an empty table, lang null throughout) all rows with letters stay as they are.
     """
+    small_batches(spark)
     return language_id.identified(docs, language_id.fit(docs))
 
 
@@ -23,11 +24,13 @@ def near_dedup(spark, docs, sf_dir):
 
     It is the row with the smallest doc_id, null ids last; of equal ids the one with the smaller hash of the row.
     """
+    small_batches(spark)
     return near_copies.firsts(docs)
 
 
 def cut_repeats(spark, docs, sf_dir):
     """Suffix-array dedup: bytes of passages of PASSAGE bytes or more that repeat go from the texts; n_chars follows."""
+    small_batches(spark)
     cut = suffix_dedup.kept_texts(docs, PASSAGE)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
@@ -44,6 +47,7 @@ def encode(spark, docs, sf_dir):
     """BPE: counts and digests of ids and decoded text, a row for each row; an empty table gives none."""
     import public_tokenizers
 
+    small_batches(spark)
     return bpe.bpe_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

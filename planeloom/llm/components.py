@@ -6,8 +6,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-#: Held while a table is stored: shuffles are freed at the end, and Python workers get rows by a few MB.
-WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "6m"}
+#: Python workers get rows by a few MB.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Held while a table is stored: besides, shuffles are freed at the end.
+WHILE_STORED = SMALL_BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets SMALL_BATCHES for the session, so that a frame which is run later keeps to them too."""
+    for k, v in SMALL_BATCHES.items():
+        spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to a folder of its own below shared_folder and read back; what it shuffled is freed at once."""
     spark = df.sparkSession

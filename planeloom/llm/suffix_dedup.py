@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import dropped, stored
 
-LENGTH, PACK, PIECE, BUCKET, BLOCKS, SALTS = 400, 1 << 20, 1 << 19, 1 << 19, 2, 16
+LENGTH, PACK, PIECE, BUCKET, BLOCKS, SALTS = 400, 1 << 19, 1 << 18, 1 << 19, 2, 16
 BASE = 0x9E3779B97F4A7C15
 TABLE, NAMES = (np.random.default_rng(s).integers(0, 2**64, 256, np.uint64) for s in (5, 6))
 KEY = 16
