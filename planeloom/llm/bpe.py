@@ -8,6 +8,7 @@ Null text counts as empty: no ids. Repeated rows each give a row; extra columns
 special token inside a document becomes its id, as the library does by default.
 """
 
+import functools
 import hashlib
 import json
 
@@ -30,7 +31,7 @@ def byte_chars() -> list[str]:
 class Bpe:
     """Encoder and decoder of one vocabulary file; limit bounds the cached pre-tokens."""
 
-    def __init__(self, path: str, limit: int = 300_000, longest_cached: int = 64):
+    def __init__(self, path: str, limit: int = 200_000, longest_cached: int = 64):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
@@ -75,7 +76,7 @@ class Bpe:
         """Whether tokens a, b stay apart when their joint text is merged in rank order."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > self.limit:
                 self.fits.clear()
             known = self.fits[a, b] = self._apart(a, b)
         return known
@@ -150,11 +151,17 @@ class Bpe:
         return self.blob[at].tobytes()
 
 
+@functools.cache
+def loaded(path: str) -> Bpe:
+    """One table for each worker process, not for each task."""
+    return Bpe(path)
+
+
 def bpe_documents(docs, path: str):
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; path must be readable on the executors."""
 
     def run(batches):
-        bpe = Bpe(path)
+        bpe = loaded(path)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -35,15 +35,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to a folder of its own below shared_folder and read back; what it shuffled is freed at once."""
+def stored(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
+    """df, written as Parquet to a folder of its own below shared_folder and read back; what it shuffled is freed at once.
+
+    Most such tables hold hashes or compressed packs: pages end by size, checked at each row, as a hundred packs would be a page of tens of MB.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k) for k in WHILE_STORED}
     try:
         for k, v in WHILE_STORED.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "100").parquet(path, compression=compression)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

@@ -1,6 +1,7 @@
 """Token counts by a whole-token shortcut: vocabulary strings proven to encode alone as one token are
 counted directly, other pre-tokens are merged. Null or empty text counts 0; every row gives one row."""
 
+import functools
 import re
 
 import pyarrow as pa
@@ -51,9 +52,15 @@ class Counts(dict):
         return sum(self[u] for u in UNIT.findall("▁" + text.replace(" ", "▁"))) if text else 0
 
 
+@functools.cache
+def loaded(path: str) -> Counts:
+    """One proven table for each worker process, not for each task."""
+    return Counts(path)
+
+
 def token_counts(docs, path: str, max_tokens: int = 4096):
     def run(batches):
-        counts = Counts(path)
+        counts = loaded(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [counts.count(t) for t in texts]
