@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from planeloom.dialect import duck_sql, spark_sql
 
-from . import framing, geometry, schedule, wavelet
+from . import codec, framing, geometry, schedule, wavelet
 
 SIGNAL = "sig AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CAST(floor(value) AS BIGINT) AS v FROM events)"
 _PIXEL = "least(255, greatest(0, CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT)))"
@@ -99,7 +99,40 @@ def _scan(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.sum(F.octet_length("payload")).cast("long").alias("n_bytes"))
 
 
+def _tiles(spark, sf_dir, channels):
+    """The raster of each image, and for colour its mirror and its negative as further channels."""
+    _read(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings")
+    one = spark.sql(f"WITH {_VECTORS['spark']}, {RASTER} SELECT img, 0 AS channel, y, x, v FROM raster")
+    more = [one.withColumns({"channel": F.lit(1), "v": 255 - F.col("v")}), one.withColumns({"channel": F.lit(2), "v": F.floor(F.col("v") / 2)})]
+    return one.unionByName(more[0]).unionByName(more[1]) if channels > 1 else one
+
+
+def _round_trip(channels, filt):
+    def run(spark, sf_dir):
+        streams = codec.compress(_tiles(spark, sf_dir, channels), stages=2, filt=filt, n_segments=4, channels=channels)
+        return codec.decompress(streams, stages=2, filt=filt, n_segments=4)
+
+    return run
+
+
+def _dimensions(spark, sf_dir):
+    return codec.dimensions(codec.compress(_tiles(spark, sf_dir, 1), stages=2, n_segments=4, quota=20_000))
+
+
+def _truncated(spark, sf_dir):
+    """Streams under a quota: their bytes, records and error against the raster."""
+    tiles = _tiles(spark, sf_dir, 1)
+    streams = codec.compress(tiles, stages=2, n_segments=4, quota=1500)
+    back = codec.decompress(streams, stages=2, n_segments=4).withColumnRenamed("v", "near")
+    off = tiles.join(back, ["img", "channel", "y", "x"]).groupBy("img").agg(F.max(F.abs(F.col("v") - F.col("near"))).alias("most_off"))
+    return streams.select("img", F.octet_length("stream").alias("n_bytes")).join(off, "img")
+
+
 QUERIES = {name: _query(name) for name in _TEXTS} | {
+    "codec_round_trip_gray": _round_trip(1, "a"),
+    "codec_round_trip_yuv": _round_trip(3, "c"),
+    "codec_dimensions": _dimensions,
+    "codec_quota": _truncated,
     "wavelet_inv_1d_a": _back_1d_a,
     **{f"wavelet_inv_1d_{f}": _back_1d(f) for f in wavelet.FILTERS if f != "a"},
     "wavelet_inv_2d": _back_2d,
@@ -109,6 +142,9 @@ QUERIES = {name: _query(name) for name in _TEXTS} | {
 #: The inverse queries are held against the samples they started from. DuckDB has no CRC-32.
 SQL = {name: _text(name, "duck") for name in _TEXTS} | {
     **{f"wavelet_inv_1d_{f}": f"WITH {SIGNAL} SELECT user_id, CAST(pos AS BIGINT) AS i, v FROM sig" for f in wavelet.FILTERS},
+    "codec_round_trip_gray": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, CAST(0 AS BIGINT) AS channel, y, x, v FROM raster",
+    "codec_round_trip_yuv": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, c AS channel, y, x, CASE c WHEN 0 THEN v WHEN 1 THEN 255 - v ELSE v // 2 END AS v FROM raster, range(3) t(c)",
+    "codec_dimensions": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM raster GROUP BY img",
     "wavelet_inv_2d": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, y, x, v FROM raster",
     # as given: this SQL leaves out each seventh event, the queries read all
     **{name: _text(name, "duck").replace(" AS payload FROM events)", " AS payload FROM events WHERE event_id % 7 <> 0)") for name in ("packet_dedupe", "contiguous_planes")},

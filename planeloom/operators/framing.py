@@ -15,8 +15,9 @@ MARK, HEAD = 0x605B, struct.Struct("<HHBBBBIIII")
 SIZE = HEAD.size + 4
 
 
-def record(payload: bytes, mean=0, level=1, subband=0, segment=0, plane=0, channel=0, width=0, height=0) -> bytes:
-    head = HEAD.pack(MARK, mean, level, subband, segment, plane | channel << 4, width, height, 8 * len(payload), zlib.crc32(payload))
+def record(payload: bytes, mean=0, level=1, subband=0, segment=0, plane=0, channel=0, width=0, height=0, n_bits=None) -> bytes:
+    n_bits = 8 * len(payload) if n_bits is None else n_bits
+    head = HEAD.pack(MARK, mean, level, subband, segment, plane | channel << 4, width, height, n_bits, zlib.crc32(payload))
     return head + struct.pack("<I", zlib.crc32(head)) + payload
 
 
@@ -36,12 +37,12 @@ def scan(stream: bytes):
 
 
 def framed(texts: DataFrame, piece: int = 512) -> DataFrame:
-    """(doc_id, stream) of (doc_id, text): a record for each piece of the text's bytes. Null text is empty."""
+    """(doc_id, stream) of (doc_id, text): a record for each piece of the text's bytes, numbered by segment and, in 256s, width. Null text is empty."""
 
     def run(batches):
         for b in batches:
             raws = [(t or "").encode() for t in b.column(1).to_pylist()]
-            out = [b"".join(record(raw[i : i + piece], segment=i // piece % 256) for i in range(0, len(raw), piece)) for raw in raws]
+            out = [b"".join(record(raw[i : i + piece], segment=i // piece % 256, width=i // piece // 256) for i in range(0, len(raw), piece)) for raw in raws]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "stream"])
 
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, stream binary")
@@ -52,9 +53,8 @@ def scanned(streams: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [(doc, at, f[4], p) for at, f, p in scan(raw or b"")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "offset", "segment", "payload"])
+            rows = [(doc, at, f[4] + 256 * f[6], p) for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for at, f, p in scan(raw or b"")]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "offset", "segment", "payload"])
 
     return streams.select("doc_id", "stream").mapInArrow(run, "doc_id long, offset long, segment int, payload binary")
