@@ -22,7 +22,8 @@ IMAGES = "dims AS (SELECT s_suppkey AS img, 1 + s_suppkey % 4 AS stages FROM sup
 _one = wavelet.stage_sql("raster", "s1", "a")
 _two = f"{_one},\nll1 AS (SELECT img, y, x, v FROM s1 WHERE subband = 0),{wavelet.stage_sql('ll1', 's2', 'a')},\ncoef AS (SELECT img, 1 AS level, subband, y, x, v FROM s1 WHERE subband > 0 UNION ALL SELECT img, 2, subband, y, x, v FROM s2)"
 _mean = "mean AS (SELECT img, CAST(sum(v) AS BIGINT) // count(*) AS ll_mean, count(*) AS n FROM coef WHERE subband = 0 GROUP BY img)"
-_centred = "centred AS (SELECT c.img, level, subband, y, x, CASE WHEN subband = 0 THEN v - ll_mean ELSE v END AS v FROM coef c JOIN mean m ON c.img = m.img)"
+#: The mean by windows over the image, so that the transform is read once.
+_centred = "means AS (SELECT img, level, subband, y, x, v, CAST(sum(CASE WHEN subband = 0 THEN v END) OVER (PARTITION BY img) AS BIGINT) // count(CASE WHEN subband = 0 THEN v END) OVER (PARTITION BY img) AS ll_mean FROM coef),\ncentred AS (SELECT img, level, subband, y, x, CASE WHEN subband = 0 THEN v - ll_mean ELSE v END AS v FROM means)"
 _clip = lambda x: f"least(255, greatest(0, {x}))"
 _found = f"found AS (SELECT user_id AS img, event_type AS band, event_id % {schedule.PLANES} AS plane, event_id AS seen, CAST(floor(value) AS BIGINT) AS payload FROM events)"
 _segmented = f"{IMAGES},{schedule.packets_sql(3)},\ncut AS (SELECT *, <upto 6> AS seg FROM packets)"
@@ -32,10 +33,12 @@ _TEXTS = {
     **{f"wavelet_fwd_1d_{f}": ("events", f"{SIGNAL},{wavelet.forward_sql('sig', 'fwd', 'user_id', 'pos', f)}", "SELECT user_id, n, l AS low, h AS high FROM fwd") for f in wavelet.FILTERS},
     "wavelet_fwd_2d": ("embeddings", f"{RASTER},{_one}", "SELECT img, subband, y, x, v FROM s1"),
     "subband_energy": ("embeddings", f"{RASTER},{_two}", "SELECT img, level, subband, count(*) AS n, CAST(sum(abs(v)) AS BIGINT) AS sum_abs, CAST(sum(v * v) AS BIGINT) AS energy, max(abs(v)) AS peak FROM coef GROUP BY img, level, subband"),
-    "ll_mean": ("embeddings", f"{RASTER},{_two},{_mean}", "SELECT img, ll_mean, n FROM mean"),
-    "sign_magnitude": ("embeddings", f"{RASTER},{_two},{_mean},{_centred}", "SELECT img, level, subband, y, x, v < 0 AS neg, abs(v) AS mag FROM centred"),
+    "ll_mean": ("embeddings", f"{RASTER},{_two},\n{_mean}", "SELECT img, ll_mean, n FROM mean"),
+    "sign_magnitude": ("embeddings", f"{RASTER},{_two},\n{_centred}", "SELECT img, level, subband, y, x, v < 0 AS neg, abs(v) AS mag FROM centred"),
     "sign_magnitude_inverse": ("events", "sm AS (SELECT event_id, event_id % 2 = 1 AS neg, CAST(floor(value) AS BIGINT) AS mag FROM events)", "SELECT event_id, CASE WHEN neg THEN -mag ELSE mag END AS v, greatest(0, CASE WHEN neg THEN -mag ELSE mag END) AS clamped FROM sm"),
-    "bitplane_stats": ("embeddings", f"{RASTER},{_two},{_mean},{_centred}", "SELECT img, level, subband, count(*) AS n, " + ", ".join(f"CAST(sum(CASE WHEN abs(v) >= {1 << p} THEN 1 ELSE 0 END) AS BIGINT) AS plane_{p}" for p in range(schedule.PLANES)) + " FROM centred GROUP BY img, level, subband"),
+    "bitplane_stats": ("embeddings", f"{RASTER},{_two},\n{_centred}", "SELECT img, level, subband, count(*) AS n, " + ", ".join(f"CAST(sum(CASE WHEN abs(v) >= {1 << p} THEN 1 ELSE 0 END) AS BIGINT) AS plane_{p}" for p in range(schedule.PLANES)) + " FROM centred GROUP BY img, level, subband"),
+    "bit_categories": ("embeddings", f"{RASTER},{_two},\n{_centred},\nplanes AS (SELECT img, level, subband, abs(v) AS mag, <upto {schedule.PLANES}> AS plane FROM centred),\nabove AS (SELECT img, level, subband, plane, mag >> (plane + 1) AS m, (mag >> plane) % 2 AS b FROM planes)", "SELECT img, level, subband, CAST(plane AS BIGINT) AS plane, CASE WHEN m < 2 THEN CAST(m AS INT) WHEN m < 4 THEN 2 ELSE 3 END AS category, count(*) AS n, CAST(sum(b) AS BIGINT) AS ones FROM above GROUP BY img, level, subband, plane, CASE WHEN m < 2 THEN CAST(m AS INT) WHEN m < 4 THEN 2 ELSE 3 END"),
+    "segment_pixels": ("embeddings", f"{RASTER},\nrects AS (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h, 6 AS s FROM raster GROUP BY img),{geometry.SEGMENTS}", "SELECT r.img, r.y, r.x, CAST(g.seg AS BIGINT) AS seg FROM raster r JOIN segments g ON r.img = g.img AND r.x >= g.x0 AND r.x < g.x0 + g.sw AND r.y >= g.y0 AND r.y < g.y0 + g.sh"),
     "yuv422_split": (
         "events",
         f"{SIGNAL},\nby4 AS (SELECT user_id, pos // 4 AS grp, max(CASE WHEN pos % 4 = 0 THEN v % 256 END) AS b0, max(CASE WHEN pos % 4 = 1 THEN v % 256 END) AS b1, max(CASE WHEN pos % 4 = 2 THEN v % 256 END) AS b2, max(CASE WHEN pos % 4 = 3 THEN v % 256 END) AS b3 FROM sig GROUP BY user_id, pos // 4),\nuv AS (SELECT user_id, grp, b0, b2, coalesce(b1, 128) AS u, coalesce(b3, lag(b3) OVER (PARTITION BY user_id ORDER BY grp), 128) AS v FROM by4),\npixels AS (SELECT *, <upto CASE WHEN b2 IS NULL THEN 1 ELSE 2 END> AS odd FROM uv)",
@@ -43,7 +46,7 @@ _TEXTS = {
     ),
     "ycc_to_rgb": ("part", RGB, f"SELECT id, {_clip('r + 1435 * (b - 128) // 1024')} AS r, {_clip('r - (352 * (g - 128) + 731 * (b - 128)) // 1024')} AS g, {_clip('r + 1814 * (g - 128) // 1024')} AS b FROM rgb"),
     "rgb565": ("part", RGB, "SELECT id, ((r >> 3) << 11) + ((g >> 2) << 5) + (b >> 3) AS rgb565 FROM rgb"),
-    "raster_descale": ("embeddings", RASTER, "SELECT img, y // 2 AS y, x // 2 AS x, CAST(sum(v) AS BIGINT) // 4 AS v FROM raster GROUP BY img, y // 2, x // 2"),
+    "raster_descale": ("embeddings", RASTER, "SELECT img, y // 2 AS y, x // 2 AS x, CAST(sum(v) AS BIGINT) // count(*) AS v FROM raster GROUP BY img, y // 2, x // 2"),
     "subband_geometry": ("part", f"{DIMS},{geometry.SUBBANDS}", "SELECT img, CAST(level AS BIGINT) AS level, CAST(subband AS BIGINT) AS subband, x0, y0, bw, bh FROM subbands"),
     "partition_segments": ("part", f"{RECTS},{geometry.SEGMENTS}", "SELECT img, CAST(seg AS BIGINT) AS seg, x0, y0, sw, sh FROM segments"),
     **{f"packet_schedule_{k}": ("supplier", f"{IMAGES},{schedule.packets_sql(n)}", "SELECT img, CAST(level AS BIGINT) AS level, CAST(subband AS BIGINT) AS subband, CAST(lsb AS BIGINT) AS lsb, CAST(channel AS BIGINT) AS channel, priority, CAST(place AS BIGINT) AS place FROM packets") for k, n in (("gray", 1), ("yuv", 3))},
@@ -99,6 +102,12 @@ def _scan(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.count("*").alias("n_records"), F.sum(F.octet_length("payload")).cast("long").alias("n_bytes"))
 
 
+def _scan_damaged(spark, sf_dir):
+    """Each third record of a stream is spoilt; of the others number and payload are found."""
+    found = framing.scanned(framing.damaged(framing.framed(_read(spark, sf_dir, "documents"))))
+    return found.select("doc_id", F.col("segment").cast("long").alias("segment"), F.md5("payload").alias("digest"))
+
+
 def _tiles(spark, sf_dir, channels):
     """The raster of each image, and for colour its mirror and its negative as further channels."""
     _read(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings")
@@ -138,6 +147,7 @@ QUERIES = {name: _query(name) for name in _TEXTS} | {
     "wavelet_inv_2d": _back_2d,
     "crc32_docs": _crc32,
     "scan_packets": _scan,
+    "scan_damaged": _scan_damaged,
 }
 #: The inverse queries are held against the samples they started from. DuckDB has no CRC-32.
 SQL = {name: _text(name, "duck") for name in _TEXTS} | {
@@ -146,5 +156,6 @@ SQL = {name: _text(name, "duck") for name in _TEXTS} | {
     "codec_round_trip_yuv": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, c AS channel, y, x, CASE c WHEN 0 THEN v WHEN 1 THEN 255 - v ELSE v // 2 END AS v FROM raster, range(3) t(c)",
     "codec_dimensions": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM raster GROUP BY img",
     "wavelet_inv_2d": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, y, x, v FROM raster",
+    "scan_damaged": "WITH b AS (SELECT doc_id, encode(text) AS raw, unnest(range((octet_length(encode(text)) + 511) // 512)) AS segment FROM documents WHERE text <> '') SELECT doc_id, segment, md5(raw[segment * 512 + 1 : segment * 512 + 512]) AS digest FROM b WHERE segment % 3 <> 1",
     "scan_packets": "WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text <> '') SELECT doc_id, (n + 511) // 512 AS n_records, n AS n_bytes FROM b",
 }

@@ -48,6 +48,23 @@ def framed(texts: DataFrame, piece: int = 512) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, stream binary")
 
 
+def damaged(streams: DataFrame) -> DataFrame:
+    """(doc_id, stream) with the last payload byte of the second of each three records flipped, for tests of the scan."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for raw in b.column(1).to_pylist():
+                raw = bytearray(raw or b"")
+                for i, (at, fields, payload) in enumerate(list(scan(bytes(raw)))):
+                    if i % 3 == 1:
+                        raw[at + SIZE + len(payload) - 1] ^= 0x55
+                out.append(bytes(raw))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "stream"])
+
+    return streams.select("doc_id", "stream").mapInArrow(run, "doc_id long, stream binary")
+
+
 def scanned(streams: DataFrame) -> DataFrame:
     """(doc_id, offset, segment, payload) of the whole records of (doc_id, stream)."""
 
