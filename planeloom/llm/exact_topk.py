@@ -5,16 +5,23 @@ their inner product is at most the sum of n * (m1 * m2 + s1 * s2): equally, thei
 segments' means and deviations give. Each level drops the candidates whose bound is under the k-th best exact score
 that is known; survivors of the last level get exact integer scores.
 
+Candidates are dealt to groups of about GROUP rows, queries go to every group in blocks: each row moves SPLIT times as a
+candidate and once a group as a query. A query comes with a seed, its k-th best score among the first SEED rows, so
+that a group drops what can't be among the best of all. Scores that may not fit 63 bits are summed in Python integers.
+
 Null vectors and vectors with null or non-finite components take no part; shorter vectors count as padded with
-zeros. Ties go to the smaller id; a repeated id is a candidate for each of its rows, but never for its own id. Components
-must be under 2**31 / 256 in size, and scores stay exact while they fit 63 bits. An empty table gives no rows.
+zeros. Ties go to the smaller id. Rows that repeat an id are rows of their own: each is a query or a candidate, and only
+a query's own row is no candidate of it. Components whose 256-fold is no long, and scores that are none, are errors.
+An empty table gives no rows; extra columns are ignored.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-LEVELS, CANDIDATES, QUERIES_IN_BLOCK = (1, 4, 16), 4096, 1024
+from .components import stored
+
+LEVELS, GROUP, SPLIT, SEED, BLOCK = (1, 4, 16), 1 << 15, 8, 1024, 256
 
 
 def stats(v: np.ndarray, segments: int) -> np.ndarray:
@@ -27,93 +34,104 @@ def stats(v: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def best(q_ids, q, c_ids, c, k):
-    """Rows (query id, candidate id, score) with each query's k best of these candidates, and all that tie with them."""
-    levels = [(stats(q, s), stats(c, s)) for s in LEVELS]
-    slack = 1e-9 * (np.linalg.norm(c.astype(np.float64), axis=1).max() * np.linalg.norm(q.astype(np.float64), axis=1) + 1)
-    rows = []
-    coarse = levels[0][0] @ levels[0][1].T
-    for i in range(len(q)):
-        at = np.flatnonzero(c_ids != q_ids[i])
-        if len(at) > k:
-            bound = coarse[i, at]
+def scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of c with q."""
+    most = float(np.abs(c.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).sum())
+    return c @ q if most < 2**62 else np.array([sum(int(x) * int(y) for x, y in zip(r, q)) for r in c], object)
+
+
+class Candidates:
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vecs: np.ndarray):
+        self.rows, self.ids, self.vecs = rows, ids, vecs
+        self.norm = np.linalg.norm(vecs.astype(np.float64), axis=1).max(initial=0)
+        self.stats: dict[int, list[np.ndarray]] = {}
+
+    def best(self, row: int, q: np.ndarray, k: int, seed: int | None) -> list[tuple[int, int]]:
+        """The k best (id, score) of these candidates, or those of them that are not under the seed."""
+        dim = max(len(q), self.vecs.shape[1])
+        if dim > self.vecs.shape[1]:
+            self.vecs = np.pad(self.vecs, ((0, 0), (0, dim - self.vecs.shape[1])))
+        q = np.pad(q, (0, dim - len(q)))
+        if dim not in self.stats:
+            self.stats = {dim: [stats(self.vecs, s) for s in LEVELS]}
+        # what rounding may take off a bound, itself a product of floats
+        slack = 1e-9 * (self.norm * np.linalg.norm(q.astype(np.float64)) + 1)
+        at, least = np.flatnonzero(self.rows != row), seed
+        for level, other in zip(LEVELS, self.stats[dim]):
+            if len(at) <= k:
+                break
+            bound = other[at] @ stats(q[None], level)[0]
             tried = at[np.argpartition(-bound, k - 1)[:k]]
-            least = np.sort(c[tried] @ q[i])[0]
-            at = at[bound + slack[i] >= least]
-            for own, other in levels[1:]:
-                if len(at) <= k:
-                    break
-                bound = other[at] @ own[i]
-                tried = at[np.argpartition(-bound, k - 1)[:k]]
-                least = max(least, np.sort(c[tried] @ q[i])[0])
-                at = at[bound + slack[i] >= least]
-        score = c[at] @ q[i]
-        for j in np.lexsort((c_ids[at], -score))[:k].tolist():
-            rows.append((int(q_ids[i]), int(c_ids[at[j]]), int(score[j])))
-    return rows
-
-
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v array<long>) as blocks of at most size vectors: n, dim, ids, vectors as bytes."""
-
-    def run(batches):
-        ids, vecs = [], []
+            own = min(scores(self.vecs[tried], q))
+            least = own if least is None else max(least, own)
+            at = at[bound + slack >= float(least) * (1 - 1e-12 if least > 0 else 1 + 1e-12)]
+        score = scores(self.vecs[at], q)
+        order = np.lexsort((self.ids[at], -score)) if score.dtype != object else sorted(range(len(at)), key=lambda j: (-score[j], self.ids[at[j]]))
+        return [(int(self.ids[at[j]]), int(score[j])) for j in list(order)[:k]]
 
-        def block():
-            dim = max(map(len, vecs))
-            m = np.zeros((len(vecs), dim), np.int64)
-            for r, v in zip(m, vecs):
-                r[: len(v)] = v
-            out = pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([dim]), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.astype(np.int32).tobytes()], pa.binary())], ["n", "dim", "ids", "vecs"])
-            ids.clear(), vecs.clear()
-            return out
 
-        for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if v:
-                    ids.append(i), vecs.append(v)
-                if len(ids) == size:
-                    yield block()
-        if ids:
-            yield block()
+def matrix(vectors: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
+    for r, v in zip(out, vectors):
+        r[: len(v)] = v
+    return out
 
-    return rows.mapInArrow(run, "n long, dim long, ids binary, vecs binary")
 
+def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best for each row of (vec_id, embedding) whose id is divisible by every."""
+    good = "size(embedding) > 0 and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    ints = rows.select("vec_id", "embedding").where(good).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as long))").alias("v"))
+    ints = stored(ints.withColumn("row", F.monotonically_increasing_id()), "vectors")  # fixes the row's number
+    first = ints.orderBy("row").limit(SEED).collect()  # SEED rows at most
+    seeds = Candidates(np.array([r.row for r in first], np.int64), np.array([r.vec_id for r in first], np.int64), matrix([r.v for r in first]))
+    groups = max(1, -(-ints.count() // GROUP))
 
-def unpacked(n, dim, ids, vecs):
-    return np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.int32).reshape(n, dim).astype(np.int64)
+    def ask(batches):
+        for b in batches:
+            out = []
+            for id, v, row in zip(*(c.to_pylist() for c in b.columns)):
+                got = seeds.best(row, np.array(v, np.int64), k, None)
+                out.append((id, v, row, got[-1][1] if len(got) == k else None))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["vec_id", "v", "row", "seed"])
 
+    asked = stored(ints.where(F.col("vec_id") % every == 0).mapInArrow(ask, "vec_id long, v array<long>, row long, seed long"), "asked")
+    asked = asked.select("*", F.explode(F.expr(f"sequence(0, {groups - 1})")).alias("group"), F.pmod(F.xxhash64("row"), F.lit(SPLIT)).cast("int").alias("split"), F.lit(True).alias("asks"))
+    given = ints.select("vec_id", "v", "row", F.lit(None).cast("long").alias("seed"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int").alias("group"), F.explode(F.expr(f"sequence(0, {SPLIT - 1})")).alias("split"), F.lit(False).alias("asks"))
 
-def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best for each row of (vec_id, embedding) whose id is divisible by every.
+    def run(batches):
+        place, rows, own = None, [], None
 
-    Blocks of queries meet blocks of candidates by an equi-join on the query block's number, salted by the
-    candidates' block; neither side is broadcast or collected.
-    """
-    good = "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    ints = rows.select("vec_id", "embedding").where(good).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as long))").alias("v"))
-    asked = ints.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERIES_IN_BLOCK))
-    salts = 64
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    asked = packed(asked.repartition(blocks, part), QUERIES_IN_BLOCK)
-    asked = asked.withColumn("q", F.pmod(F.xxhash64("ids"), F.lit(blocks))).select("q", F.struct("n", "dim", "ids", "vecs").alias("asked"))
-    asked = asked.withColumn("salt", F.explode(F.expr(f"sequence(0, {salts - 1})")))
-    given = packed(ints, CANDIDATES).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    given = given.withColumn("q", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))).select("q", "salt", F.struct("n", "dim", "ids", "vecs").alias("given"))
-    pairs = given.join(asked, ["q", "salt"]).select("asked", "given")
+        def answer(asking):
+            nonlocal own
+            if own is None:  # all of the group's candidates have come
+                own = Candidates(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), matrix([r[2] for r in rows]))
+                rows.clear()
+            got = [(id, row, *x) for id, v, row, seed in asking for x in own.best(row, np.array(v, np.int64), k, seed)]
+            cols = list(zip(*got)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "row", "vec_id", "score"])
 
-    def run(batches):
         for b in batches:
-            for a, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (qi, q), (ci, c) = unpacked(**a), unpacked(**g)
-                dim = max(q.shape[1], c.shape[1])
-                q, c = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in (q, c))
-                got = np.array(best(qi, q, ci, c, k), np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got.T], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            asking = []
+            for id, v, row, seed, group, split, asks in zip(*(c.to_pylist() for c in b.columns)):
+                if (group, split) != place:
+                    if asking:
+                        yield answer(asking)
+                    place, own, asking = (group, split), None, []
+                    rows.clear()
+                if asks:
+                    asking.append((id, v, row, seed))
+                else:
+                    rows.append((row, id, v))
+                if len(asking) >= BLOCK:
+                    yield answer(asking)
+                    asking = []
+            if asking:
+                yield answer(asking)
+
+    dealt = given.unionByName(asked.select(given.columns)).repartition("group", "split").sortWithinPartitions("group", "split", "asks")
+    found = dealt.mapInArrow(run, "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -151,6 +151,23 @@ def test_top_k(spark):
     assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_large_components_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "GROUP", 16)
+    monkeypatch.setattr(exact_topk, "SEED", 10)
+    schema = "vec_id long, embedding array<double>"
+    rows = [(50, [1.0]), (1, [9e6]), (2, [-9e6]), (3, [0.5]), (50, [-1.0]), (100, [9.6e6, 1.0]), (4, [9.6e6, 2.0])] + [(i, [R.uniform(-3e6, 3e6) for _ in range(R.randint(1, 6))]) for i in range(5, 80) if i % 50]
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for n, (q, a) in enumerate(ints):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ints) if m != n)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    got = sorted(map(tuple, exact_topk.top_k(spark.createDataFrame(rows, schema)).collect()))
+    assert got == sorted(want) and any(x[3] > 2**62 for x in got)
+    two = exact_topk.top_k(spark.createDataFrame([(50, [1.0]), (1, [9e6])], schema)).collect()
+    assert [tuple(r) for r in two] == [(50, 1, 1, 589824000000)]
+
+
 def test_language_id(docs, empty, spark):
     rows = [(i, prose(30) if i % 2 else " ".join(w[::-1].upper() + "zq" for w in prose(30).split()), ["xx", "yy"][i % 2]) for i in range(80)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
