@@ -53,12 +53,14 @@ def store(payload: bytes) -> bytes:
     return b"".join(p for n in range(max(map(len, streams))) for s in streams for p in s[n : n + 1])
 
 
-def read(stored: bytes) -> tuple[bytes, float, int]:
-    """(payload, seconds, pages); ValueError if the stored bytes are damaged."""
-    packets: dict[int, list] = {}
+def read(stored: bytes) -> tuple[bytes, float, int, list[tuple[int, float, float]]]:
+    """(payload, seconds, pages, packets as (serial, start, end) in seconds of their stream); ValueError if the stored bytes are damaged."""
+    packets: dict[int, list] = {}  # of each stream: body, granule at its end
     state: dict[int, list] = {}
     at = n_pages = 0
     while at < len(stored):
+        if at + HEAD.size > len(stored):
+            raise ValueError("page cut short")
         mark, version, flags, granule, serial, number, crc, count = HEAD.unpack_from(stored, at)
         laces = stored[at + HEAD.size : at + HEAD.size + count]
         end = at + HEAD.size + count + sum(laces)
@@ -67,24 +69,36 @@ def read(stored: bytes) -> tuple[bytes, float, int]:
         s = state.setdefault(serial, [0, b"", False])
         if number != s[0] or bool(flags & 1) != bool(s[2]) or bool(flags & 2) != (number == 0):
             raise ValueError("page out of order")
-        pos, open_, body = at + HEAD.size + count, s[2], [s[1]]
+        pos, open_, body, ended = at + HEAD.size + count, s[2], [s[1]], []
         for x in laces:
             body.append(stored[pos : pos + x])
             pos, open_ = pos + x, x == 255
             if not open_:
-                packets.setdefault(serial, []).append((b"".join(body), granule))
+                ended.append(b"".join(body))
                 body = []
+        own = packets.setdefault(serial, [])
+        for i, p in enumerate(ended):
+            # a header packet, the first of a stream, has no samples
+            own.append((p, granule - sum(len(q) for q in ended[i + 1 :]) if own else 0))
         state[serial] = [number + 1, b"".join(body), open_]
         at, n_pages = end, n_pages + 1
     if any(s[2] for s in state.values()) or set(packets) != set(SERIALS):
         raise ValueError("packet cut short")
-    size = HEADER.unpack(packets[SERIALS[0]][0][0])[2]
-    parts = [[body for body, _ in packets[s][1:]] for s in SERIALS]
+    head = packets[SERIALS[0]][0][0]
+    if len(head) != HEADER.size:
+        raise ValueError("no header")
+    size, parts, times = HEADER.unpack(head)[2], [[body for body, _ in packets[s][1:]] for s in SERIALS], []
+    for serial in SERIALS:
+        before = 0
+        for body, granule in packets[serial][1:]:
+            if granule - len(body) != before:
+                raise ValueError("granule positions do not fit the samples")
+            times.append((serial, before / RATE, granule / RATE))
+            before = granule
     payload = b"".join(p for n in range(max(map(len, parts))) for s in parts for p in s[n : n + 1])
-    granules = sum(packets[s][-1][1] for s in SERIALS)
-    if len(payload) != size or granules != size:
+    if len(payload) != size:
         raise ValueError("samples missing")
-    return payload, granules / RATE, n_pages
+    return payload, sum(b - a for _, a, b in times), n_pages, times
 
 
 def feature(payload: bytes, seconds: float, n_pages: int) -> str:
@@ -102,7 +116,7 @@ def ogg_documents(docs):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = (text or "").encode()
                 media = store(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
-                payload, seconds, n_pages = read(media)
+                payload, seconds, n_pages, _ = read(media)
                 rows.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, seconds, n_pages)))
             yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r)) for r in rows], SCHEMA)
 

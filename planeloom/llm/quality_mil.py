@@ -3,7 +3,8 @@
 A document is a bag of passages of up to PASSAGE bytes, cut at white space. Every passage has features of its form
 and hashed words; an encoder maps them to HIDDEN units, gated attention (a tanh part times a sigmoid part) weighs
 the passages, and the weighted mean is scored. All weights are learned from document labels alone, on at most SAMPLE
-labelled rows (those of least hash; a documented bound on fitting only), every passage of every text is scored.
+labelled rows (those of least hash, and as many of these as have ROOM passages by their sizes; documented bounds on labelled rows, for fitting only). A
+row trains with all its passages, and every passage of every text is scored.
 
 Null and empty texts are one empty passage. Rows with null quality don't train; no training rows: score 0.5. Several
 labels of a document each count. Repeated rows each give a row; extra columns are ignored.
@@ -13,9 +14,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-PASSAGE, WORDS, HIDDEN, GATE, SAMPLE, STEPS = 600, 32, 24, 16, 6000, 400
+PASSAGE, WORDS, HIDDEN, GATE, SAMPLE, ROOM, STEPS = 600, 32, 24, 16, 6000, 200_000, 400
 KINDS = {"upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": bytes(range(48, 58)), "space": b" \t\r", "line": b"\n", "stop": b".", "comma": b",", "shout": b"!?", "bar": b"|", "sign": b"#@<>{}[]()=/\\_*&%$:;\"'-+~^`", "high": bytes(range(128, 256))}
 
 
@@ -64,6 +65,21 @@ class Net:
         y = 1 / (1 + np.exp(-np.clip((z @ c)[:, 0] + d[0], -30, 30)))
         return h, t, s, alpha, z, y, sizes
 
+    def gradients(self, x, starts, labels) -> list[np.ndarray]:
+        """Of the mean logistic loss of the bags, by each of the weights."""
+        w, v, u, a, c, b, d = self.p
+        h, t, s, alpha, z, y, sizes = self.forward(x, starts)
+        gy = (y - labels)[:, None] / len(labels)
+        gz = gy @ c.T
+        wide = np.repeat(gz, sizes, 0)
+        gh = alpha[:, None] * wide
+        ga = (wide * h).sum(1)
+        ge = (alpha * (ga - np.repeat(np.add.reduceat(alpha * ga, starts), sizes)))[:, None]
+        gts = ge @ a.T
+        gt, gs = gts * s * (1 - t * t), gts * t * s * (1 - s)
+        gh = (gh + gt @ v.T + gs @ u.T) * (1 - h * h)
+        return [((x - self.mean) / self.std).T @ gh, h.T @ gt, h.T @ gs, (t * s).T @ ge, z.T @ gy, gh.sum(0), gy.sum(0)]
+
     def fit(self, bags: list[np.ndarray], labels: np.ndarray) -> "Net":
         if not bags:
             return self
@@ -73,18 +89,7 @@ class Net:
         for step in range(1, STEPS + 1):
             at = r.integers(0, len(bags), min(256, len(bags)))
             x, starts = np.concatenate([bags[i] for i in at]), np.cumsum([0] + [len(bags[i]) for i in at[:-1]])
-            w, v, u, a, c, b, d = self.p
-            h, t, s, alpha, z, y, sizes = self.forward(x, starts)
-            gy = (y - labels[at])[:, None] / len(at)
-            gz = gy @ c.T
-            wide = np.repeat(gz, sizes, 0)
-            gh = alpha[:, None] * wide
-            ga = (wide * h).sum(1)
-            ge = (alpha * (ga - np.repeat(np.add.reduceat(alpha * ga, starts), sizes)))[:, None]
-            gts = ge @ a.T
-            gt, gs = gts * s * (1 - t * t), gts * t * s * (1 - s)
-            gh = (gh + gt @ v.T + gs @ u.T) * (1 - h * h)
-            grads = [((x - self.mean) / self.std).T @ gh, h.T @ gt, h.T @ gs, (t * s).T @ ge, z.T @ gy, gh.sum(0), gy.sum(0)]
+            grads = self.gradients(x, starts, labels[at])
             for i, g in enumerate(grads):
                 g = g + 1e-4 * self.p[i]
                 m1[i] = 0.9 * m1[i] + 0.1 * g
@@ -110,11 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
 
     train = labels.where("quality is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").select("doc_id", "quality")
     train = train.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").select("text", "quality").mapInArrow(run, "bag binary, quality int").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(train), "doc_id").withColumn("h", F.xxhash64("doc_id", "text", "quality"))
+    # a passage has half of PASSAGE bytes at least, but for the last; the labelled rows are few, so one window holds their sizes
+    sizes = rows.groupBy("h").agg(F.sum(F.expr(f"1 + coalesce(octet_length(text), 0) div {PASSAGE // 2}")).alias("n"))
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("h"))).where(F.col("upto") <= ROOM).select("h")
+    rows = rows.join(F.broadcast(upto), "h").select("text", "quality").mapInArrow(run, "bag binary, quality int").collect()
     rows.sort()
     width = len(KINDS) + 8 + WORDS
-    # a very long text trains with 64 of its passages, evenly spread; it is scored with all
-    bags = [x[np.linspace(0, len(x) - 1, min(len(x), 64)).astype(int)] for x in (np.frombuffer(r[0], np.float32).reshape(-1, width).astype(float) for r in rows)]
+    bags = [np.frombuffer(r[0], np.float32).reshape(-1, width).astype(float) for r in rows]
     return Net(width).fit(bags, np.array([r[1] for r in rows], float))
 
 

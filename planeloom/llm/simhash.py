@@ -1,10 +1,11 @@
 """SimHash near-duplicates through a segment-popcount embedding.
 
-A fingerprint's 64 bits are cut into segments of 2 bits; the popcounts of the segments are a vector whose Manhattan
-distance is never over the Hamming distance. The segments form BANDS groups. Two vectors within RADIUS (4) of each
-other agree wholly in at least BANDS - RADIUS groups, so the grid has a cell for each choice of that many groups and
-their popcounts, and close pairs share a cell. In a cell, vectors are ordered by their total popcount, pairs over
-the radius in it are skipped, the others are verified by exact Hamming distance. Each cell gives a spanning forest of
+A fingerprint's 64 bits are cut into segments; the popcounts of the segments are a vector whose Manhattan distance is
+never over the Hamming distance. The grid is over segments of 2 bits, in groups: two vectors within RADIUS (4) of each
+other agree wholly in all groups but 4 at most, so the grid has a cell for each choice of all but 4 groups and their
+popcounts, and close pairs share a cell. More fingerprints get more groups, so that cells stay small; any number is exact. In a
+cell, vectors are ordered by their total popcount; pairs over the radius in it, then pairs over it by the Manhattan
+distance over segments of 16 bits, are dropped, and the others verified by exact Hamming distance. Each cell gives a spanning forest of
 its links only, so a group of copies never turns into all its pairs. Cells over CELL fingerprints are cut into
 chunks, and pairs of chunks are dealt to tasks on their own: no cell is one task's burden and no link is lost.
 
@@ -19,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .components import checkpointed, components
+from .components import components, stored
 
-BITS, RADIUS, BANDS, CELL = 64, 4, 6, 4096
+RADIUS, CELL = 4, 4096
 BLOCK = 1 << 16
 
 
@@ -62,12 +63,22 @@ def popcounts(fps: np.ndarray) -> np.ndarray:
     return (fps & odd) + ((fps >> np.uint64(1)) & odd)
 
 
-def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_for(n: int) -> int:
+    """Groups for n fingerprints: six up to 2 ** 19, then one more for each 4 bits."""
+    return 6 + max(0, -(-((max(n, 1) - 1).bit_length() - 19) // 4))
+
+
+def segments(fps: np.ndarray) -> np.ndarray:
+    """The embedding over segments of 16 bits, a row each."""
+    return np.bitwise_count(fps.astype("<u8").view("<u2").reshape(-1, 4)).astype(np.int8)
+
+
+def cells(fps: np.ndarray, bands: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Index of fingerprint and key of cell, for each choice of groups."""
-    vec, cuts = popcounts(fps), [round(i * 32 / BANDS) * 2 for i in range(BANDS + 1)]
+    vec, cuts = popcounts(fps), [round(i * 32 / bands) * 2 for i in range(bands + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
     keys = []
-    for k, chosen in enumerate(itertools.combinations(masks, BANDS - RADIUS)):
+    for k, chosen in enumerate(itertools.combinations(masks, bands - RADIUS)):
         part = vec & np.uint64(sum(chosen))
         part = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
         keys.append(part ^ (part >> np.uint64(32)))  # unlike cells that share a key only cost time
@@ -80,6 +91,7 @@ def forest(a: np.ndarray, b: np.ndarray | None = None) -> list[tuple[int, int]]:
     total = np.bitwise_count(both).astype(np.int64)
     order = np.argsort(total, kind="stable")
     v, total = both[order], total[order]
+    vector = segments(v)
     last = np.searchsorted(total, total + RADIUS, side="right")
     parent = list(range(len(v)))
 
@@ -94,7 +106,8 @@ def forest(a: np.ndarray, b: np.ndarray | None = None) -> list[tuple[int, int]]:
         seen = v[i + 1 : last[i]]
         if not len(seen):
             continue
-        for j in (np.flatnonzero(np.bitwise_count(seen ^ v[i]) <= RADIUS) + i + 1).tolist():
+        close = np.flatnonzero(np.abs(vector[i + 1 : last[i]] - vector[i]).sum(axis=1) <= RADIUS)
+        for j in (close[np.bitwise_count(seen[close] ^ v[i]) <= RADIUS] + i + 1).tolist():
             x, y = root(i), root(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -134,10 +147,12 @@ def _links(out):
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that span every component of those at RADIUS or less."""
 
+    bands = bands_for(distinct.count())
+
     def spread(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at, keys = cells(fps.view(np.uint64))
+            at, keys = cells(fps.view(np.uint64), bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.array(fps[at], pa.int64())], ["cell", "fp"])
 
     rows = distinct.select("fp").mapInArrow(spread, "cell long, fp long")
@@ -151,8 +166,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links."""
-    fps = checkpointed(fingerprints(docs))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    fps = stored(fingerprints(docs), "fingerprints")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.select("fp", "first", "root")

@@ -86,6 +86,32 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_fingerprint_by_the_contract():
+    import re
+
+    import xxhash
+
+    for t in TEXTS + ["Ä\u00a0b\x0bC d\x1fe f", "A b c d", "a B c", prose(70_000)]:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", low)
+        grams = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("bands", [6, 7, 8])
+def test_close_fingerprints_share_a_cell_and_manhattan_is_a_bound(bands):
+    for _ in range(200):
+        a = R.getrandbits(64)
+        b = a ^ sum(1 << x for x in R.sample(range(64), R.randint(0, 4)))
+        both = np.array([a, b], np.uint64)
+        at, keys = simhash.cells(both, bands)
+        assert set(keys[at == 0].tolist()) & set(keys[at == 1].tolist())
+        x, y = simhash.segments(both).astype(int)
+        assert abs(x - y).sum() <= (a ^ b).bit_count()
+    assert [simhash.bands_for(n) for n in (0, 1 << 19, (1 << 19) + 1, 1 << 23, 1 << 27)] == [6, 6, 7, 7, 8]
+
+
 def test_simhash_cells_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 8)
     base = [R.getrandbits(64) for _ in range(20)]
@@ -129,6 +155,22 @@ def test_ogg(docs, empty):
         raw = (TEXTS[r.doc_id] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        import zlib
+
+        media = ogg.store(payload)
+        x = [b - 128 for b in payload]
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.split(";")[0] == f"seconds={len(payload) / 8000:.6f}"
+        assert r.feature.split(";")[2:] == [f"sum={sum(x)}", f"energy={sum(v * v for v in x)}", f"peak={max(map(abs, x))}", f"crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"]
+    payload = R.randbytes(130_000)
+    times = ogg.read(ogg.store(payload))[3]
+    for k, serial in enumerate(ogg.SERIALS):
+        sizes = [len(payload[i : i + ogg.CHUNK]) for i in range(k * ogg.CHUNK, len(payload), 2 * ogg.CHUNK)]
+        ends = np.cumsum(sizes)
+        assert [t for t in times if t[0] == serial] == [(serial, (e - n) / 8000, e / 8000) for n, e in zip(sizes, ends.tolist())]
+    for cut in (5, 20, 3000, len(payload)):
+        with pytest.raises(ValueError):
+            ogg.read(ogg.store(payload)[:cut])
     media = bytearray(ogg.store(R.randbytes(100_000)))
     media[500] ^= 1
     with pytest.raises(ValueError):
@@ -178,6 +220,46 @@ def test_language_id(docs, empty, spark):
     assert language_id.language_id(docs, language_id.fit(empty)).count() == len(ROWS)
 
 
+def test_language_grams_and_masks():
+    """Grams of a text against a plain rule, over cuts into pieces; masks of 70 languages against sets."""
+    old, language_id.PIECE = language_id.PIECE, 5
+    try:
+        for t in ["", "a", "ab", "ab c", "Hello, Wörld 12 xy", prose(40), "é漢字🙂 x" * 5]:
+            low = " " + t.lower() + " "
+            want = Counter(tuple(x if x.isalpha() else "" for x in low[i : i + 3]) for i in range(len(low) - 2))
+            want = Counter({g: n for g, n in want.items() if g[1] and (g[0] or g[2])})
+            got = Counter()
+            for keys, _ in language_id.grams(t):
+                got.update(tuple(chr(c) if (c := k >> s & 0x1FFFFF) else "" for s in (42, 21, 0)) for k in keys.tolist())
+            assert got == want
+    finally:
+        language_id.PIECE = old
+    sets = {f"l{i:02}": [R.getrandbits(60) for _ in range(30)] for i in range(70)}
+    model = language_id.Model(sets, "l00")
+    for name, keys in sets.items():
+        counts = dict(zip(model.names, model.counts(np.array(keys, np.uint64))))
+        assert counts[name] == 30 and all(n <= 1 for x, n in counts.items() if x != name)
+
+
+def test_quality_gradients():
+    r = np.random.default_rng(1)
+    net, x, starts, labels = quality_mil.Net(6), r.normal(size=(9, 6)), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        y = net.forward(x, starts)[5]
+        return float(-(labels * np.log(y) + (1 - labels) * np.log(1 - y)).mean())
+
+    for p, g in zip(net.p, net.gradients(x, starts, labels)):
+        for at in list(np.ndindex(p.shape))[:12]:
+            keep = p[at]
+            p[at] = keep + 1e-6
+            up = loss()
+            p[at] = keep - 1e-6
+            down = loss()
+            p[at] = keep
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-6
+
+
 def test_quality(docs, empty, spark):
     rows = [(i, prose(60) if i % 2 else prose(20).upper().replace(" ", "!! "), None) for i in range(200)]
     d, labels = spark.createDataFrame(rows, "doc_id long, text string, quality int"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
