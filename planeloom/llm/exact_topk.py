@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import stored
 
-LEVELS, GROUP, SPLIT, SEED, BLOCK = (1, 4, 16), 1 << 15, 8, 1024, 256
+LEVELS, GROUP, SPLIT, SEED, BLOCK = (1, 4, 16), 1 << 15, 8, 1024, 64
 
 
 def stats(v: np.ndarray, segments: int) -> np.ndarray:
@@ -35,39 +35,49 @@ def stats(v: np.ndarray, segments: int) -> np.ndarray:
 
 
 def scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of c with q."""
+    """Inner products of the rows of c with q, exact: as floats, longs or Python integers, whichever hold them."""
     most = float(np.abs(c.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).sum())
-    return c @ q if most < 2**62 else np.array([sum(int(x) * int(y) for x, y in zip(r, q)) for r in c], object)
+    if most < 2**53:
+        return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    return c @ q if most < 2**62 else np.array([sum(int(x) * int(y) for x, y in zip(r, q)) for r in c] + [None], object)[:-1]
 
 
 class Candidates:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vecs: np.ndarray):
         self.rows, self.ids, self.vecs = rows, ids, vecs
         self.norm = np.linalg.norm(vecs.astype(np.float64), axis=1).max(initial=0)
-        self.stats: dict[int, list[np.ndarray]] = {}
+        self.stats = [stats(self.vecs, s) for s in LEVELS] if vecs.size else []
 
-    def best(self, row: int, q: np.ndarray, k: int, seed: int | None) -> list[tuple[int, int]]:
-        """The k best (id, score) of these candidates, or those of them that are not under the seed."""
-        dim = max(len(q), self.vecs.shape[1])
+    def best(self, asking: list[tuple[int, np.ndarray, int | None]], k: int) -> list[list[tuple[int, int]]]:
+        """Of each query (row, vector, seed) the k best (id, score) of these candidates, or those of them not under its seed."""
+        if not len(self.rows):
+            return [[] for _ in asking]
+        dim = max(self.vecs.shape[1], *(len(v) for _, v, _ in asking))
         if dim > self.vecs.shape[1]:
-            self.vecs = np.pad(self.vecs, ((0, 0), (0, dim - self.vecs.shape[1])))
-        q = np.pad(q, (0, dim - len(q)))
-        if dim not in self.stats:
-            self.stats = {dim: [stats(self.vecs, s) for s in LEVELS]}
-        # what rounding may take off a bound, itself a product of floats
-        slack = 1e-9 * (self.norm * np.linalg.norm(q.astype(np.float64)) + 1)
-        at, least = np.flatnonzero(self.rows != row), seed
-        for level, other in zip(LEVELS, self.stats[dim]):
-            if len(at) <= k:
-                break
-            bound = other[at] @ stats(q[None], level)[0]
-            tried = at[np.argpartition(-bound, k - 1)[:k]]
-            own = min(scores(self.vecs[tried], q))
-            least = own if least is None else max(least, own)
-            at = at[bound + slack >= float(least) * (1 - 1e-12 if least > 0 else 1 + 1e-12)]
-        score = scores(self.vecs[at], q)
-        order = np.lexsort((self.ids[at], -score)) if score.dtype != object else sorted(range(len(at)), key=lambda j: (-score[j], self.ids[at[j]]))
-        return [(int(self.ids[at[j]]), int(score[j])) for j in list(order)[:k]]
+            self.__init__(self.rows, self.ids, np.pad(self.vecs, ((0, 0), (0, dim - self.vecs.shape[1]))))
+        q = np.array([np.pad(v, (0, dim - len(v))) for _, v, _ in asking])
+        # bounds are sums of float products: what rounding may have taken off is added
+        slack = 1e-9 * (self.norm * np.linalg.norm(q.astype(np.float64), axis=1) + 1)
+        least = np.array([-np.inf if seed is None else float(seed) for *_, seed in asking])
+        floor = least - slack - 1e-12 * np.abs(np.where(np.isfinite(least), least, 0))
+        alive, ok = np.arange(len(self.rows)), None
+        for level, other in zip(LEVELS, self.stats):  # coarse to fine, all queries of the block at once
+            bound = other[alive] @ stats(q, level).T
+            ok = bound >= floor
+            some = ok.any(axis=1)
+            alive, ok, bound = alive[some], ok[some], bound[some]
+        out = []
+        for j, (row, _, seed) in enumerate(asking):
+            good = np.flatnonzero(ok[:, j] & (self.rows[alive] != row))
+            at = alive[good]
+            if len(at) > k:
+                tried = at[np.argpartition(-bound[good, j], k - 1)[:k]]
+                own = float(min(scores(self.vecs[tried], q[j])))
+                at = at[bound[good, j] >= own - slack[j] - 1e-12 * abs(own)]
+            score = scores(self.vecs[at], q[j])
+            order = np.lexsort((self.ids[at], -score)) if score.dtype != object else sorted(range(len(at)), key=lambda i: (-score[i], self.ids[at[i]]))
+            out.append([(int(self.ids[at[i]]), int(score[i])) for i in list(order)[:k]])
+        return out
 
 
 def matrix(vectors: list[list[int]]) -> np.ndarray:
@@ -90,7 +100,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Dat
         for b in batches:
             out = []
             for id, v, row in zip(*(c.to_pylist() for c in b.columns)):
-                got = seeds.best(row, np.array(v, np.int64), k, None)
+                got = seeds.best([(row, np.array(v, np.int64), None)], k)[0]
                 out.append((id, v, row, got[-1][1] if len(got) == k else None))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["vec_id", "v", "row", "seed"])
@@ -107,7 +117,8 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Dat
             if own is None:  # all of the group's candidates have come
                 own = Candidates(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), matrix([r[2] for r in rows]))
                 rows.clear()
-            got = [(id, row, *x) for id, v, row, seed in asking for x in own.best(row, np.array(v, np.int64), k, seed)]
+            best = own.best([(row, np.array(v, np.int64), seed) for _, v, row, seed in asking], k)
+            got = [(id, row, *x) for (id, _, row, _), found in zip(asking, best) for x in found]
             cols = list(zip(*got)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "row", "vec_id", "score"])
 

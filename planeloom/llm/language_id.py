@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .components import stored
+
 LEAST, SLOTS, PROBES, PIECE, SMALL = 1e-6, 1 << 18, 3, 1 << 20, 10_000
 _letters = None
 
@@ -116,6 +118,7 @@ def fit(docs: DataFrame, least: float = LEAST) -> Model:
 
     train = docs.where("text is not null and lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").select("text", "lang")
     counts = train.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "grams")  # read three times
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     small = totals.count() <= SMALL  # a row for each language
     counts = counts.join(F.broadcast(totals) if small else totals, "lang").withColumn("part", F.col("n") / F.col("total"))
