@@ -80,9 +80,15 @@ class Candidates:
         return out
 
 
-def matrix(vectors: list[list[int]]) -> np.ndarray:
-    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
-    for r, v in zip(out, vectors):
+def vectors(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column, as slices of one array."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def matrix(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
+    for r, v in zip(out, rows):
         r[: len(v)] = v
     return out
 
@@ -99,8 +105,8 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Dat
     def ask(batches):
         for b in batches:
             out = []
-            for id, v, row in zip(*(c.to_pylist() for c in b.columns)):
-                got = seeds.best([(row, np.array(v, np.int64), None)], k)[0]
+            for id, v, row in zip(b.column(0).to_pylist(), vectors(b.column(1)), b.column(2).to_pylist()):
+                got = seeds.best([(row, v, None)], k)[0]
                 out.append((id, v, row, got[-1][1] if len(got) == k else None))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))], ["vec_id", "v", "row", "seed"])
@@ -117,14 +123,15 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Dat
             if own is None:  # all of the group's candidates have come
                 own = Candidates(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), matrix([r[2] for r in rows]))
                 rows.clear()
-            best = own.best([(row, np.array(v, np.int64), seed) for _, v, row, seed in asking], k)
+            best = own.best([(row, v, seed) for _, v, row, seed in asking], k)
             got = [(id, row, *x) for (id, _, row, _), found in zip(asking, best) for x in found]
             cols = list(zip(*got)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "row", "vec_id", "score"])
 
         for b in batches:
             asking = []
-            for id, v, row, seed, group, split, asks in zip(*(c.to_pylist() for c in b.columns)):
+            for id, v, *at in zip(b.column(0).to_pylist(), vectors(b.column(1)), *(c.to_pylist() for c in b.columns[2:])):
+                row, seed, group, split, asks = at
                 if (group, split) != place:
                     if asking:
                         yield answer(asking)
@@ -133,7 +140,7 @@ def top_k(rows: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Dat
                 if asks:
                     asking.append((id, v, row, seed))
                 else:
-                    rows.append((row, id, v))
+                    rows.append((row, id, v.copy()))  # a copy, so that the batch can go
                 if len(asking) >= BLOCK:
                     yield answer(asking)
                     asking = []
