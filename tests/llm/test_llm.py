@@ -296,6 +296,54 @@ def test_mixing(docs, empty, spark):
     assert mixing.mixed(empty).count() == 0
 
 
+def shared(budget, children):
+    """Budgets of (weight, cap) by the rule itself: raise all unfilled children by weight until the budget or the caps are used."""
+    got, open_ = [0.0] * len(children), {i for i, (w, c) in enumerate(children) if w > 0 and c > 0}
+    while open_ and budget > 1e-9:
+        total = sum(children[i][0] for i in open_)
+        step = min([budget / total] + [(children[i][1] - got[i]) / children[i][0] for i in open_])
+        for i in open_:
+            got[i] += step * children[i][0]
+        budget -= step * total
+        open_ = {i for i in open_ if children[i][1] - got[i] > 1e-6}
+    return got
+
+
+def test_mixing_target_weights(spark, docs, empty):
+    supply = {("x", "en", "a"): 400, ("x", "en", "b"): 40, ("x", "de", "c"): 300, ("y", "en", "d"): 50, ("y", "de", "e"): 900, ("z", "en", "f"): 500}
+    given = {("x",): 3, ("y",): 1, ("x", "en"): 1, ("x", "de"): 1, ("x", "en", "a"): 1, ("x", "en", "b"): 4, ("y", "de", "e"): 2}
+    rows = [(i, "abcd" * n, l, s, d) for i, (d, l, s, n) in enumerate((d, l, s, 2) for (d, l, s), n in supply.items() for _ in range(n // 2))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, field string")
+    weights = spark.createDataFrame([((*k, None, None)[:3] + (float(w) / 2,)) for k, w in given.items()] + [("x", "en", "b", float("0")), ("x", "en", "b", None), ("x", "en", "b", -3.0)], "mix_domain string, mix_lang string, mix_source string, weight double")
+
+    def budgets(node, budget):
+        if len(node) == 3:
+            return {node: budget}
+        kids = sorted({k[: len(node) + 1] for k in supply if k[: len(node)] == node})
+        named = any(k[: len(node)] == node and len(k) == len(node) + 1 for k in given)
+        total = sum(n for k, n in supply.items() if k[: len(node)] == node)
+        own = lambda k: sum(n for s, n in supply.items() if s[: len(k)] == k)
+        taken = lambda k: all(not any(g[:-1] == k[:j] and len(g) == j + 1 for g in given) or k[: j + 1] in given for j in range(3))
+        cap = lambda k: 2 * sum(n for s, n in supply.items() if s[: len(k)] == k and taken(s))
+        weight = lambda k: given.get(k, 0) if named else 9 * len(kids) * own(k) + total
+        out = {}
+        for k, b in zip(kids, shared(budget, [(weight(k), cap(k)) for k in kids])):
+            out |= budgets(k, b)
+        return out
+
+    want = budgets((), sum(supply.values()))
+    got = dict.fromkeys(supply, 0)
+    for r in mixing.mixed(table, epochs=2, weights=weights, domain="field").collect():
+        assert r.mix_epoch < 2
+        got[r.mix_domain, r.mix_lang, r.mix_source] += r.mix_tokens
+    assert want["z", "en", "f"] == 0 and want["x", "en", "b"] == 80  # not named; full
+    for k, n in got.items():
+        assert want[k] - 5 < n <= want[k] + 1e-6, (k, n, want)
+    assert mixing.mixed(empty, weights=weights).count() == 0
+    none = weights.limit(0)
+    assert mixing.mixed(docs, weights=none).count() == mixing.mixed(docs).count()
+
+
 def test_pipeline_stages_keep_columns(spark, docs, empty):
     import corpus_pipeline
 
