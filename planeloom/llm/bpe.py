@@ -11,6 +11,7 @@ special token inside a document becomes its id, as the library does by default.
 import functools
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ import regex
 #: Fixed value: the pre-token pattern of byte-level BPE; white space spelled out, as engines differ on control codes.
 SPACE = r"\p{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|{SPACE}+(?![^{SPACE}])|{SPACE}+"
+#: The same for texts of ASCII only, by the faster engine.
+ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
 def byte_chars() -> list[str]:
@@ -29,7 +32,8 @@ def byte_chars() -> list[str]:
 
 
 class Bpe:
-    """Encoder and decoder of one vocabulary file; limit bounds the cached pre-tokens."""
+    """Encoder and decoder of one vocabulary file. The cache has two generations of limit pre-tokens: when the younger is full, the older
+    goes; what is used again moves to the younger."""
 
     def __init__(self, path: str, limit: int = 200_000, longest_cached: int = 64):
         import ahocorasick
@@ -70,6 +74,7 @@ class Bpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.fits: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.limit, self.longest_cached = limit, longest_cached
 
     def compatible(self, a: int, b: int) -> bool:
@@ -99,48 +104,49 @@ class Bpe:
                 return True
 
     def ranks(self, piece: bytes) -> list[int]:
-        n = len(piece)
-        longest = [-1] * n
-        for end, r in self.auto.iter(piece[::-1].decode("latin-1")):
-            if longest[n - 1 - end] < 0:  # the automaton gives the longest first
-                longest[n - 1 - end] = r
-        out, at, open_ = [], 0, bytearray(b"\1") * (n + 1)
-        token = longest[0] if n else None
-        while at < n:
+        last = len(piece) - 1
+        found = list(self.auto.iter(piece[::-1].decode("latin-1")))
+        found.reverse()
+        longest = dict(found)  # by the end in the reversed piece; of one end the automaton gives the longest first
+        size, shorter, fits, compatible = self.size, self.shorter, self.fits, self.compatible
+        out, at, open_ = [], 0, bytearray(b"\1") * (last + 2)
+        token, before = longest.get(last), None
+        while at <= last:
             while token is not None:
-                end = at + self.size[token]
-                if open_[end] and (not out or self.compatible(out[-1], token)):
+                end = at + size[token]
+                if open_[end] and (before is None or ((known := fits.get((before, token))) is None and compatible(before, token)) or known):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token is None:
                 open_[at] = 0
                 token = out.pop()
-                at -= self.size[token]
-                token = self.shorter[token]
+                before = out[-1] if out else None
+                at -= size[token]
+                token = shorter[token]
                 continue
             out.append(token)
-            at = end
-            token = longest[at] if at < n else None
+            before, at = token, end
+            token = longest.get(last - at)
         return out
 
     def _ids(self, piece: str) -> str:
-        got = ",".join(str(self.token[r]) for r in self.ranks(piece.encode()))
+        got = self.older.get(piece) or ",".join([str(self.token[r]) for r in self.ranks(piece.encode())])
         if len(piece) <= self.longest_cached:
             if len(self.cache) >= self.limit:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = got
         return got
 
     def encode(self, text: str) -> str:
         """The ids as decimal numbers joined by commas."""
         parts = self.at_special.split(text) if self.at_special else [text]
-        out, cache = [], self.cache
+        out = []
         for part in parts:
             if part in self.special:
                 out.append(str(self.special[part]))
             elif part:
-                for p in self.cut.findall(part):
-                    out.append(cache.get(p) or self._ids(p))
+                for p in (ASCII if part.isascii() else self.cut).findall(part):
+                    out.append(self.cache.get(p) or self._ids(p))
         return ",".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -166,7 +172,7 @@ def bpe_documents(docs, path: str):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = bpe.encode(text or "")
-                table = np.array(ids.split(","), np.int64) if ids else np.zeros(0, np.int64)
+                table = np.fromstring(ids, np.int64, sep=",") if ids else np.zeros(0, np.int64)
                 # ids of whole characters decode to valid UTF-8; other bytes become U+FFFD
                 back = bpe.decode(table).decode("utf-8", "replace").encode()
                 rows.append((doc, len(table), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
