@@ -88,20 +88,18 @@ class Bpe:
 
     def _apart(self, a: int, b: int) -> bool:
         # Undo the later of both tokens' merges step by step; a merge across the border that ranks before it wins.
-        bound = len(self.split) + 1
+        joined, split, bound = self.joined, self.split, len(self.split) + 1
         while True:
-            if self.joined.get((a, b), bound) < bound:
+            if (joined.get((a, b)) or bound) < bound:
                 return False
-            left = a > b
-            for side in (left, not left):
-                if side and a >= 256:
-                    bound, a = a, self.split[a][1]
-                    break
-                if not side and b >= 256:
-                    bound, b = b + 1, self.split[b][0]
-                    break
+            if a > b:
+                if a < 256:
+                    return True
+                bound, a = a, split[a][1]
             else:
-                return True
+                if b < 256:
+                    return True
+                bound, b = b + 1, split[b][0]
 
     def ranks(self, piece: bytes) -> list[int]:
         last = len(piece) - 1
