@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from planeloom.dialect import duck_sql, spark_sql
 
-from . import codec, framing, geometry, schedule, wavelet
+from . import codec, framing, geometry, jpeg, schedule, wavelet
 
 SIGNAL = "sig AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CAST(floor(value) AS BIGINT) AS v FROM events)"
 _PIXEL = "least(255, greatest(0, CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT)))"
@@ -46,6 +46,8 @@ _TEXTS = {
     ),
     "ycc_to_rgb": ("part", RGB, f"SELECT id, {_clip('r + 1435 * (b - 128) // 1024')} AS r, {_clip('r - (352 * (g - 128) + 731 * (b - 128)) // 1024')} AS g, {_clip('r + 1814 * (g - 128) // 1024')} AS b FROM rgb"),
     "rgb565": ("part", RGB, "SELECT id, ((r >> 3) << 11) + ((g >> 2) << 5) + (b >> 3) AS rgb565 FROM rgb"),
+    **{f"raster_descale_{n}": ("embeddings", RASTER, f"SELECT img, y // {n} AS y, x // {n} AS x, CAST(sum(v) AS BIGINT) // count(*) AS v FROM raster GROUP BY img, y // {n}, x // {n}") for n in (4, 8)},
+    "chroma_upsample": ("embeddings", f"{RASTER},\nchroma AS (SELECT img, y // 2 AS cy, x // 2 AS cx, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 255 - v END) AS u, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN v // 2 END) AS w FROM raster WHERE img % 2 = 0 GROUP BY img, y // 2, x // 2)", "SELECT r.img, y, x, v, coalesce(u, 128) AS u, coalesce(w, 128) AS w FROM raster r LEFT JOIN chroma c ON r.img = c.img AND r.y // 2 = c.cy AND r.x // 2 = c.cx"),
     "raster_descale": ("embeddings", RASTER, "SELECT img, y // 2 AS y, x // 2 AS x, CAST(sum(v) AS BIGINT) // count(*) AS v FROM raster GROUP BY img, y // 2, x // 2"),
     "subband_geometry": ("part", f"{DIMS},{geometry.SUBBANDS}", "SELECT img, CAST(level AS BIGINT) AS level, CAST(subband AS BIGINT) AS subband, x0, y0, bw, bh FROM subbands"),
     "partition_segments": ("part", f"{RECTS},{geometry.SEGMENTS}", "SELECT img, CAST(seg AS BIGINT) AS seg, x0, y0, sw, sh FROM segments"),
@@ -128,6 +130,20 @@ def _dimensions(spark, sf_dir):
     return codec.dimensions(codec.compress(_tiles(spark, sf_dir, 1), stages=2, n_segments=4, quota=20_000))
 
 
+def _jpeg(channels):
+    """Images in which each sample is a block of 8 x 8, read at an eighth: the samples come back as they were."""
+
+    def run(spark, sf_dir):
+        files = jpeg.written(_tiles(spark, sf_dir, channels), quality=100, enlarge=8)
+        return jpeg.pixels(files, scale=3)
+
+    return run
+
+
+def _jpeg_info(spark, sf_dir):
+    return jpeg.info(jpeg.written(_tiles(spark, sf_dir, 3), quality=70, sampling=(2, 2))).select("img", "width", "height", "channels")
+
+
 def _truncated(spark, sf_dir):
     """Streams under a quota: their bytes, records and error against the raster."""
     tiles = _tiles(spark, sf_dir, 1)
@@ -141,6 +157,9 @@ QUERIES = {name: _query(name) for name in _TEXTS} | {
     "codec_round_trip_gray": _round_trip(1, "a"),
     "codec_round_trip_yuv": _round_trip(3, "c"),
     "codec_dimensions": _dimensions,
+    "jpeg_gray": _jpeg(1),
+    "jpeg_colour": _jpeg(3),
+    "jpeg_info": _jpeg_info,
     "codec_quota": _truncated,
     "wavelet_inv_1d_a": _back_1d_a,
     **{f"wavelet_inv_1d_{f}": _back_1d(f) for f in wavelet.FILTERS if f != "a"},
@@ -156,6 +175,9 @@ SQL = {name: _text(name, "duck") for name in _TEXTS} | {
     "codec_round_trip_yuv": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, c AS channel, y, x, CASE c WHEN 0 THEN v WHEN 1 THEN 255 - v ELSE v // 2 END AS v FROM raster, range(3) t(c)",
     "codec_dimensions": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM raster GROUP BY img",
     "wavelet_inv_2d": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, y, x, v FROM raster",
+    "jpeg_gray": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, y, x, v AS r, v AS g, v AS b FROM raster",
+    "jpeg_colour": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, y, x, {_clip('v + 1435 * (v // 2 - 128) // 1024')} AS r, {_clip('v - (352 * (127 - v) + 731 * (v // 2 - 128)) // 1024')} AS g, {_clip('v + 1814 * (127 - v) // 1024')} AS b FROM raster",
+    "jpeg_info": f"WITH {_VECTORS['duck']}, {RASTER} SELECT img, max(x) + 1 AS width, max(y) + 1 AS height, CAST(3 AS BIGINT) AS channels FROM raster GROUP BY img",
     "scan_damaged": "WITH b AS (SELECT doc_id, encode(text) AS raw, unnest(range((octet_length(encode(text)) + 511) // 512)) AS segment FROM documents WHERE text <> '') SELECT doc_id, segment, md5(raw[segment * 512 + 1 : segment * 512 + 512]) AS digest FROM b WHERE segment % 3 <> 1",
     "scan_packets": "WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text <> '') SELECT doc_id, (n + 511) // 512 AS n_records, n AS n_bytes FROM b",
 }
