@@ -2,12 +2,13 @@
 
 A line of N samples (N of 3 or more) has a low value for each pair, the last one alone if N is odd, and a high value
 for each whole pair. The forward rule needs neighbours only, so it is windows over the line; pair sums and windows share
-one shuffle. The inverse rule of filter A is windows as well; the others depend on the next restored value, so a Pandas
-UDF walks each line's arrays. Filter C takes the next pair's difference at the second pair, so that it can be undone.
+one shuffle. The inverse rule of filter A is windows as well; the others depend on the next restored value, so a
+line is walked from its end. Filter C takes the next pair's difference at the second pair, so that it can be undone.
 """
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: The filters' weights in sixteenths, of r[n-1], r[n], r[n+1] and d[n+1].
 FILTERS = {"a": (0, 4, 4, 0), "b": (0, 4, 6, 4), "c": (-1, 4, 8, 6), "d": (0, 4, 5, 2), "e": (0, 3, 8, 6), "f": (0, 3, 9, 8), "q": (0, 4, 4, 4)}
@@ -46,40 +47,48 @@ def inverse_a_sql(src: str, out: str, line: str) -> str:
 {out} AS (SELECT {line}, 2 * n + side AS i, CASE WHEN d IS NULL THEN l ELSE l + ((d + 1) >> 1) - side * d END AS v FROM {out}_e)"""
 
 
-def restore(low: list[int], high: list[int], filt: str) -> list[int]:
-    """A line from its low and high values."""
-    p, a, b, c = FILTERS[filt]
-    n, pairs = len(low), len(high)
-    r = [1, *[low[i - 1] - low[i] for i in range(1, n)], 0, 0]
-    out = [0] * (n + pairs)
-    if n > pairs:
-        out[-1] = low[-1]
-    after = 0
-    for i in range(pairs - 1, -1, -1):
-        if i == 0:
-            s = r[1] >> 2
-        elif p and i == 1 and n > 2:
-            s = (2 * r[1] + 3 * r[2] - 2 * after + 4) >> 3
-        elif n == pairs and i == pairs - 1:
-            s = r[i] >> 2
-        else:
-            s = (p * r[i - 1] + a * r[i] + b * r[i + 1] - c * after + 8) >> 4
-        after = int(high[i]) + s
-        out[2 * i] = low[i] + ((after + 1) >> 1)
-        out[2 * i + 1] = out[2 * i] - after
-    return out
-
-
 def inverse(halves: DataFrame, line: list[str], filt: str) -> DataFrame:
-    """(line, i, v) from (line, n, l, h), any filter. A line is a row of a raster, so its arrays are bounded by its width."""
+    """(line, i, v) from (line, n, l, h), any filter.
 
-    @F.pandas_udf("array<bigint>")
-    def whole(low: pd.Series, high: pd.Series) -> pd.Series:
-        return pd.Series([restore([int(x) for x in a], [int(x) for x in b], filt) for a, b in zip(low, high)])
-
-    rows = halves.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("n", "l", "h"))).alias("rows"))
-    rows = rows.select(*line, whole(F.col("rows.l"), F.filter("rows.h", lambda x: x.isNotNull())).alias("v"))
-    return rows.select(*line, F.posexplode("v").alias("i", "v"))
+    A pair's difference needs the next pair's, so a line is walked from its end in one task, sorted by Spark and read
+    batch by batch with one number kept: memory does not grow with the line. Windows and walk share one shuffle.
+    """
+    p, a, b, c = FILTERS[filt]
+    down, all_ = Window.partitionBy(*line).orderBy(F.desc("n")), Window.partitionBy(*line)
+    low = F.col("l")
+    rows = halves.select(*line, "n", "l", "h", F.count("h").over(all_).alias("pairs"), F.count("l").over(all_).alias("lows"), F.lead("l").over(down).alias("l1"), F.lead("l", 2).over(down).alias("l2"), F.lag("l").over(down).alias("next"))
+    rp, r0, r1 = F.coalesce(F.col("l2") - F.col("l1"), F.lit(1)), F.col("l1") - low, low - F.col("next")
+    after = F.coalesce(r1, F.lit(0))
+
+    def case(first, second, last, other):
+        out = F.when(F.col("n") == 0, first)
+        out = out.when((F.col("n") == 1) & r1.isNotNull(), second) if p else out
+        return out.when((F.col("pairs") == F.col("lows")) & (F.col("n") == F.col("pairs") - 1), last).otherwise(other)
+
+    base = case(after, 2 * r0 + 3 * r1 + 4, r0, p * rp + a * r0 + b * after + 8)
+    rule = [base.cast("long").alias("base"), case(*map(F.lit, (0, 2, 0, c))).cast("long").alias("weight"), case(*map(F.lit, (2, 3, 2, 4))).cast("long").alias("shift")]
+    rows = rows.select(*line, F.col("n").cast("long").alias("n"), low.cast("long").alias("l"), F.col("h").cast("long").alias("h"), *rule).sortWithinPartitions(*line, F.desc("n"))
+
+    def walk(batches):
+        at, d = None, 0
+        for batch in batches:
+            n, low, high, base, weight, shift = (batch.column(c).to_pylist() for c in ("n", "l", "h", "base", "weight", "shift"))
+            out = []
+            for key, h, x, w, s in zip(zip(*(batch.column(c).to_pylist() for c in line)), high, base, weight, shift):
+                if key != at:
+                    at, d = key, 0
+                if h is not None:
+                    d = h + ((x - w * d) >> s)
+                out.append(d)
+            whole = np.array([h is not None for h in high], bool)
+            take = np.repeat(np.arange(len(n)), 1 + whole)
+            side = np.concatenate([[0], take[1:] == take[:-1]]).astype(np.int64)[: len(take)]
+            low, d_all, whole = np.array(low, np.int64)[take], np.array(out, np.int64)[take], whole[take]
+            v = np.where(whole, low + ((d_all + 1) >> 1) - side * d_all, low)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(take)) for c in line), pa.array(2 * np.array(n, np.int64)[take] + side), pa.array(v)], [*line, "i", "v"])
+
+    types = ", ".join(f"`{c}` {halves.schema[c].dataType.simpleString()}" for c in line)
+    return rows.mapInArrow(walk, f"{types}, i long, v long")
 
 
 def stage_sql(src: str, out: str, filt: str) -> str:

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from planeloom.operators import catalog, codec
+from planeloom.operators import catalog, codec, wavelet
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +140,30 @@ def test_crc32_docs(spark):
 def test_quota_query(spark):
     got = rows(spark, "codec_quota", "img", "n_bytes", "most_off")
     assert got and all(0 < n <= 1500 and 0 < off < 256 for _, n, off in got)
+
+
+@pytest.mark.parametrize("filt", sorted("abcdefq"))
+def test_inverse_walks_lines_over_batches(spark, filt):
+    """Lines of all lengths, one longer than an Arrow batch, null and negative keys; halves by the codec's forward rule."""
+    r = np.random.default_rng(11)
+    want, halves = {}, []
+    for key, n in [(None, 9), (-1, 8), *((k, k) for k in range(3, 40)), (99, 2501)]:
+        x = r.integers(-300, 300, n)
+        want[key] = x.tolist()
+        y = codec.forward_lines(x[None, :], filt)[0].tolist()
+        cut = (n + 1) // 2
+        halves += [(key, i, y[i], y[cut + i] if i < n // 2 else None) for i in range(cut)]
+    r.shuffle(order := np.arange(len(halves)))
+    table = spark.createDataFrame([halves[i] for i in order], "key long, n long, l long, h long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = wavelet.inverse(table, ["key"], filt).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = {}
+    for row in sorted(rows, key=lambda row: row.i):
+        assert row.i == len(got.setdefault(row.key, []))
+        got[row.key].append(row.v)
+    assert got == want
+    assert wavelet.inverse(table.limit(0), ["key"], filt).count() == 0
