@@ -48,7 +48,7 @@ def encode(spark, docs, sf_dir):
     import public_tokenizers
 
     small_batches(spark)
-    return bpe.bpe_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.bpe_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=100_000)
 
 
 STAGES = [("language_id", identify), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", cut_repeats), ("mixing", mix), ("bpe", encode)]

@@ -156,16 +156,19 @@ class Bpe:
 
 
 @functools.cache
-def loaded(path: str) -> Bpe:
+def loaded(path: str, limit: int) -> Bpe:
     """One table for each worker process, not for each task."""
-    return Bpe(path)
+    return Bpe(path, limit)
 
 
-def bpe_documents(docs, path: str):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; path must be readable on the executors."""
+def bpe_documents(docs, path: str, limit: int = 200_000):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; path must be readable on the executors.
+
+    limit: cached pre-tokens of a generation; it changes time and a worker's memory only, and idle workers keep theirs.
+    """
 
     def run(batches):
-        bpe = loaded(path)
+        bpe = loaded(path, limit)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
