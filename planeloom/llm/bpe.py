@@ -44,27 +44,25 @@ class Bpe:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         chars = byte_chars()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.merges = [(vocab[a], vocab[b]) for a, b in pairs]
-        # order: rank of a token, bytes first; ids may differ from it
-        self.order = {vocab[c]: i for i, c in enumerate(chars)} | {vocab[a + b]: 256 + i for i, (a, b) in enumerate(pairs)}
-        self.token = {r: i for i, r in self.order.items()}
-        self.split = {r: (r, r) for r in range(256)}
-        self.joined = {}
-        for i, (a, b) in enumerate(self.merges):
-            self.split[256 + i] = (self.order[a], self.order[b])
-            self.joined[self.order[a], self.order[b]] = 256 + i
+        # order: rank of a token, bytes first; ids may differ from it. The lists below are by rank.
+        order = {vocab[c]: i for i, c in enumerate(chars)} | {vocab[a + b]: 256 + i for i, (a, b) in enumerate(pairs)}
+        self.token = [""] * (256 + len(pairs))
+        for i, r in order.items():
+            self.token[r] = str(i)
+        self.split = [(r, r) for r in range(256)] + [(order[vocab[a]], order[vocab[b]]) for a, b in pairs]
+        self.joined = {ends: 256 + i for i, ends in enumerate(self.split[256:])}
         raw = {c: bytes([b]) for b, c in enumerate(chars)}
-        own = {self.order[i]: b"".join(raw[c] for c in s) for s, i in vocab.items() if i in self.order}
-        self.size = {r: len(b) for r, b in own.items()}
+        own = {order[i]: b"".join(raw[c] for c in s) for s, i in vocab.items() if i in order}
+        self.size = [len(own.get(r, b"")) for r in range(len(self.split))]
         auto = ahocorasick.Automaton()
         for r, b in own.items():
             auto.add_word(b[::-1].decode("latin-1"), r)
         auto.make_automaton()
         self.auto = auto
         by_bytes = {b: r for r, b in own.items()}
-        self.shorter = {r: next((by_bytes[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in by_bytes), None) for r, b in own.items()}
-        parts = [b""] * (1 + max([*self.order, *self.special.values()]))
-        for i, r in self.order.items():
+        self.shorter = [next((by_bytes[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in by_bytes), None) for b in (own.get(r, b"") for r in range(len(self.split)))]
+        parts = [b""] * (1 + max([*order, *self.special.values()]))
+        for i, r in order.items():
             parts[i] = own[r]
         for s, i in self.special.items():
             parts[i] = s.encode()
@@ -128,13 +126,17 @@ class Bpe:
         return out
 
     def _ids(self, piece: str) -> str:
-        got = self.older.get(piece) or ",".join([str(self.token[r]) for r in self.ranks(piece.encode())])
+        got = self.older.get(piece) or ",".join([self.token[r] for r in self.ranks(piece.encode())])
         if len(piece) <= self.longest_cached:
             if len(self.cache) >= self.limit:
                 self.older, self.cache = self.cache, {}
             self.cache[piece] = got
         return got
 
+    def forget(self) -> None:
+        """Empties the caches; what they held is worked out again where it is met."""
+        self.cache, self.older, self.fits = {}, {}, {}
+
     def encode(self, text: str) -> str:
         """The ids as decimal numbers joined by commas."""
         parts = self.at_special.split(text) if self.at_special else [text]
@@ -164,7 +166,8 @@ def loaded(path: str, limit: int) -> Bpe:
 def bpe_documents(docs, path: str, limit: int = 200_000):
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; path must be readable on the executors.
 
-    limit: cached pre-tokens of a generation; it changes time and a worker's memory only, and idle workers keep theirs.
+    limit: cached pre-tokens of a generation; it changes time and a worker's memory only. A task empties its caches at its end, so
+    that idle workers hold the tables alone.
     """
 
     def run(batches):
@@ -179,6 +182,7 @@ def bpe_documents(docs, path: str, limit: int = 200_000):
                 rows.append((doc, len(table), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
