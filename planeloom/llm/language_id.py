@@ -151,11 +151,10 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def predicted(text):
-        import pandas as pd
-
-        return pd.Series([shared.value.predict(t)[0] if shared.value.names or not any(x for _, x in grams(t or "")) else "" for t in text], dtype="object")
+    @F.arrow_udf("string")
+    def predicted(text: pa.Array) -> pa.Array:
+        m = shared.value
+        return pa.array([m.predict(t)[0] if m.names or not any(x for _, x in grams(t or "")) else "" for t in text.to_pylist()], pa.string())
 
     rows = docs.withColumn("_lang_pred", predicted("text")).where("_lang_pred != 'und'")
     return rows.select(*[F.expr("coalesce(lang, nullif(_lang_pred, ''))").alias("lang") if c == "lang" else c for c in docs.columns])

@@ -361,11 +361,10 @@ def with_cuts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def kept_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs, same columns, with the repeated bytes taken out of text; null texts and untouched ones stay as they are."""
 
-    @F.pandas_udf("string")
-    def cut(text, cuts):
-        import pandas as pd
-
-        return pd.Series([t if c is None else kept(t.encode(), joined(c)).decode("utf-8", "ignore") for t, c in zip(text, cuts)], dtype="object")
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        rows = zip(text.to_pylist(), cuts.to_pylist())
+        return pa.array([t if c is None else kept(t.encode(), joined(c)).decode("utf-8", "ignore") for t, c in rows], pa.string())
 
     cut_docs = with_cuts(docs, length)
     return cut_docs.select(*[F.when(F.col("_cut_spans").isNull(), F.col("text")).otherwise(cut("text", "_cut_spans")).alias("text") if c == "text" else c for c in docs.columns])
