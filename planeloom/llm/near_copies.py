@@ -3,8 +3,8 @@
 Candidates come from SimHash links over shingles of that width and from MinHash bands: BANDS keys of ROWS minima each, so
 that a pair at 0.8 shares no key with a chance of (1 - 0.8 ** 4) ** 32, 5 in 100 million. (SimHash alone has pairs at 0.8
 at distances up to 13 of 64 bits, where a grid of cells no longer tells texts apart.) Texts joined by candidates are a
-group. Groups over CHUNK are cut into chunks, and every pair of chunks is a task's work, so no group is one task's
-burden. Of two chunks' texts every pair not yet joined is compared exactly, if their sizes can reach LEAST; the
+group. Groups over CHUNK texts or VOLUME shingles are cut into chunks, and every pair of chunks is a task's work, so no
+group is one task's burden, be it of many texts or of very long ones. Of two chunks' texts every pair not yet joined is compared exactly, if their sizes can reach LEAST; the
 joins of all pairs of chunks give the classes.
 
 Texts are told apart by a 128-bit hash of their words in lower case; texts without words are copies of each other. Each
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import simhash
 from .components import components, dropped, stored
 
-WIDTH, LEAST, BANDS, ROWS, CHUNK = 5, 0.8, 32, 4, 1024
+WIDTH, LEAST, BANDS, ROWS, CHUNK, VOLUME = 5, 0.8, 32, 4, 1024, 1 << 21
 _random = np.random.default_rng(11)
 _A, _B = (_random.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -105,11 +105,11 @@ def _sketch(batches):
             words = normal(text)
             h = hashed(words)
             grams = np.unique(h)
-            rows.append((id, row, xxhash.xxh3_128_digest(words), simhash.majority([h]), bands(grams) if len(grams) else [], zstandard.compress(words, 1)))
-        cols = list(zip(*rows)) or [[]] * 6
+            rows.append((id, row, xxhash.xxh3_128_digest(words), simhash.majority([h]), bands(grams) if len(grams) else [], len(grams), zstandard.compress(words, 1)))
+        cols = list(zip(*rows)) or [[]] * 7
         fps = np.array(cols[3], np.uint64).view(np.int64)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols[:3], fps, *cols[4:]], kinds)], ["id", "row", "key", "fp", "bands", "blob"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols[:3], fps, *cols[4:]], kinds)], ["id", "row", "key", "fp", "bands", "grams", "blob"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -118,8 +118,8 @@ def classes(docs: DataFrame) -> DataFrame:
     docs: id, text, row (a hash that tells rows apart). Null ids come last, equal ids by row.
     """
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    rows = docs.select("id", "text", "row").mapInArrow(_sketch, "id long, row long, key binary, fp long, bands array<long>, blob binary")
-    texts = stored(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("blob").alias("blob"), F.min(order).alias("first")), "sketches")
+    rows = docs.select("id", "text", "row").mapInArrow(_sketch, "id long, row long, key binary, fp long, bands array<long>, grams long, blob binary")
+    texts = stored(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("grams").alias("grams"), F.first("blob").alias("blob"), F.min(order).alias("first")), "sketches")
     cells = texts.select(F.explode("bands").alias("cell"), "key")
     shared = cells.groupBy("cell").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1")
     edges = cells.join(shared, "cell").where("key != a").select("a", F.col("key").alias("b")).distinct()
@@ -130,8 +130,10 @@ def classes(docs: DataFrame) -> DataFrame:
     ends = [prints.select(F.col("fp").alias(x), F.col("key").alias(f"key_{x}")) for x in "ab"]
     far = simhash.links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     roots = stored(components(stored(edges.unionByName(own).unionByName(far), "candidates")), "roots")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    near = roots.withColumnRenamed("node", "key").join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    roots_of = roots.withColumnRenamed("node", "key")
+    sizes = roots_of.join(texts.select("key", "grams"), "key").groupBy("root")
+    sizes = sizes.agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("grams") / VOLUME, F.lit(1.0))).cast("int").alias("chunks"))
+    near = roots_of.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     near = near.join(texts.select("key", "blob"), "key").withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     near = near.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "key", "blob")
     links = near.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(_groups, "a binary, b binary")

@@ -389,10 +389,14 @@ def test_license_windows_against_brute_force():
         assert got == want
 
 
-def test_pipeline_near_copies(spark):
+@pytest.mark.parametrize("chunk, volume", [(1024, 1 << 21), (2, 1 << 21), (1024, 300)])
+def test_pipeline_near_copies(spark, monkeypatch, chunk, volume):
     import corpus_pipeline
     from planeloom.llm import near_copies
 
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "VOLUME", volume)
+
     texts = []
     for n in (20, 60, 120, 400):
         for _ in range(12):
