@@ -147,6 +147,16 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, sizes):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_planted_passages_go_from_400_bytes(spark):
+    """Passages of over 50 words in texts that are otherwise unlike: of 400 bytes they go wholly, of 399 they stay; other texts stay whole."""
+    long, short = ((prose(120)[: n - 1] + ".") for n in (400, 399))
+    assert len(short.split()) > 50
+    texts = [f"{prose(80)}{i}{p}{i}{prose(80)}" for i, p in enumerate([long, short, ""] * 3)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].text) == ((len(t), 400, 1, t.replace(long, "")) if i % 3 == 0 else (len(t), 0, 0, t))
+
+
 def test_ogg(docs, empty):
     assert ogg.checksum(b"123456789") == 0x89A1897F
     got = ogg.ogg_documents(docs).collect()
