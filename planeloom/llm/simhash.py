@@ -14,6 +14,7 @@ text has fingerprint zero, which links like any other. Repeated rows each give a
 """
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components, stored
 
 RADIUS, CELL = 4, 4096
+#: Rows of cells a task sorts; tasks a component's rows are dealt to.
+SHARE, SALTS = 1 << 16, 16
 BLOCK = 1 << 16
 
 
@@ -147,7 +150,9 @@ def _links(out):
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that span every component of those at RADIUS or less."""
 
-    bands = bands_for(distinct.count())
+    n = distinct.count()
+    bands = bands_for(n)
+    tasks = max(1, -(-n * math.comb(bands, RADIUS) // SHARE))  # more fingerprints give more tasks, not longer ones
 
     def spread(batches):
         for b in batches:
@@ -161,18 +166,28 @@ def links(distinct: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     rows = rows.select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-    return rows.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(_edges_of_cells, "a long, b long")
+    return rows.repartition(tasks, "cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(_edges_of_cells, "a long, b long")
+
+
+def component_ids(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id): the smallest first of the fingerprints with the same root; one without a root is alone.
+
+    A component may have a third of all fingerprints: they are dealt to SALTS tasks, and its id to each of these.
+    """
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    salt = F.when(F.col("root").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.lit(SALTS))).cast("int")
+    named = named.select("fp", "first", F.coalesce("root", "fp").alias("root"), salt.alias("salt"), F.col("root").isNotNull().alias("linked"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.max("linked").alias("linked"))
+    salts = F.expr(f"sequence(0, if(linked, {SALTS - 1}, 0))")
+    least = least.select("root", "component_id", F.explode(salts).alias("salt"))
+    return named.join(least, ["root", "salt"]).select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links."""
     fps = stored(fingerprints(docs), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = named.select("fp", "first", "root")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    named = component_ids(distinct, components(links(distinct)))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

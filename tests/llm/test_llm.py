@@ -124,6 +124,28 @@ def test_simhash_cells_and_chunks(spark, monkeypatch):
                 assert roots[a] == roots[b]
 
 
+def test_simhash_tasks_grow_and_share_a_component(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "SHARE", 100)
+    table = spark.createDataFrame([(i, i + 5) for i in range(1000)], "fp long, first long")
+    links = simhash.links(table.coalesce(1))
+    used = links.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 50
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        roots = table.where("fp < 900").select(F.col("fp").alias("node"), F.lit(3).cast("long").alias("root"))
+        got = simhash.component_ids(table, roots).select("fp", "component_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.fp: r.component_id for r in got} == {i: 5 if i < 900 else i + 5 for i in range(1000)} and len(got) == 1000
+    assert max(Counter(r.p for r in got).values()) < 450  # one task had all 900
+
+
 def brute_cuts(texts):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[k : k + 400] for r in raws for k in range(len(r) - 399))
