@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from planeloom.llm import bpe, exact_topk, language_id, license_scan, mixing, ogg, quality_mil, simhash, suffix_dedup, token_count
+from planeloom.llm import bpe, components, exact_topk, language_id, license_scan, mixing, ogg, quality_mil, simhash, suffix_dedup, token_count
 
 R = random.Random(3)
 WORDS = ["".join(R.choice("abcdefghijkl") for _ in range(R.randint(2, 8))) for _ in range(300)]
@@ -146,6 +146,28 @@ def test_simhash_tasks_grow_and_share_a_component(spark, monkeypatch):
     assert max(Counter(r.p for r in got).values()) < 450  # one task had all 900
 
 
+def test_components_deal_a_hub_to_several_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(components, "HUB", 20)
+    ends = [(0, i) for i in range(1, 500)] + [(999, i) for i in range(500, 800)] + [(5000 + i, 5001 + i) for i in range(40)] + [(7000, 7000)]
+    roots = {r.node: r.root for r in components.components(spark.createDataFrame(ends, "a long, b long")).collect()}
+    assert roots == {i: 0 for i in range(500)} | {i: 500 for i in [*range(500, 800), 999]} | {5000 + i: 5000 for i in range(41)} | {7000: 7000}
+    rows = spark.createDataFrame([(0, i) for i in range(1, 500)] + [(9, 10)], "a long, b long")
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = components.tied(rows, least, 20).select("a", "b", "m", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.a, r.b, r.m) for r in got) == [(0, i, 1) for i in range(1, 500)] + [(9, 10, 10)]
+    assert max(Counter(r.p for r in got).values()) < 200  # one task had all 499
+
+
 def brute_cuts(texts):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[k : k + 400] for r in raws for k in range(len(r) - 399))
